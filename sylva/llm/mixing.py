@@ -9,7 +9,7 @@ range: neither a source nor the whole ever passes through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -19,10 +19,10 @@ EPOCHS, SEED = 3, 17
 RANGE, SLOTS = 20_000, 4_096
 
 
-def word_count(text: str) -> str:
-    """SQL of the number of runs of characters other than 0x20 and 0x09-0x0D; null: 0."""
-    ws = "\\\\x20\\\\x09-\\\\x0D"
-    return f"coalesce(cast(length(rtrim('\\t\\n\\u000b\\f\\r ', regexp_replace({text}, '[{ws}]*+[^{ws}]++', 'x'))) as bigint), 0L)"
+def word_count(text: Column) -> Column:
+    """Number of runs of characters other than 0x20 and 0x09-0x0D; null: 0."""
+    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x")
+    return F.coalesce(F.length(F.rtrim(marks, F.lit(" \t\n\x0b\x0c\r"))).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``taken`` is the size times the copies that fall within the budget, 0 to ``EPOCHS``. Null texts have
     size 0 and take nothing. Rows that repeat doc_id, source and size can't be told apart and take turns in any order, which gives the same rows.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), F.expr(word_count(f"`{text_col}`")).alias("size"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     own = materialize(own.withColumn("at", F.expr(f"shiftrightunsigned(xxhash64(doc_id, {SEED}L), 1)")), "mix-sizes")
     sums = materialize(targets(own.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     n, total = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
