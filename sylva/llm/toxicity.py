@@ -29,7 +29,7 @@ TRAIN_ROWS, LEXICON = 20_000, 4_000
 LEAST_G2, LEAST_TOXIC, LEAST_LOG_ODDS = 15.0, 4, 1.5
 FUZZY_LENGTH, WINDOW = 5, 6
 #: States and words that a worker keeps; it starts afresh beyond.
-STATES, WORDS = 100_000, 400_000
+STATES, WORDS = 30_000, 100_000
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
