@@ -106,7 +106,9 @@ class Lexicon:
     def match(self, word: str) -> tuple[str, int] | None:
         if word in self.known:
             return self.known[word]
-        if len(self.sets) > STATES or len(self.known) > WORDS:
+        if len(self.known) > WORDS:
+            self.known = {}
+        if len(self.sets) > STATES:
             self._reset()
         state, steps = self.start, self.steps
         for c in word:
