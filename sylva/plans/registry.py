@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import budget, corpus
+from ..extract import tables
 from ..functions import text
 from ..langs import VENDORED
 from ..operators import diff, link, lookup, metrics, rank, scan, score
@@ -525,3 +526,18 @@ def _(t):
 def _(t):
     packed = budget.pack_tables(t.get("files"), t.get("symbols"), t.order(), t.scored(), t.imports(), budget.Options(budget=4096, repo="derived"))
     return t.spark.createDataFrame([(f.rel, f.rank, f.one_line, f.omitted, len(f.symbols)) for f in packed.files] or [], "rel string, pos int, one_line boolean, omitted int, symbols int")
+
+
+_TEMPLATE = "CASE lang WHEN 'python' THEN concat('def ', name, '(a):') WHEN 'typescript' THEN concat('function ', name, '(a) {}') WHEN 'rust' THEN concat('fn ', name, '(a: u32) {}') WHEN 'go' THEN concat('func ', name, '(a int) {}') ELSE concat('int ', name, '(int a) {}') END"
+
+
+@query(
+    "extract_symbols",
+    f"""SELECT s.file_id, s.sym_id, s.name, 'function' AS kind, s.line, {_TEMPLATE} AS signature, CASE WHEN lang IN ('rust', 'go') THEN 'private' ELSE 'public' END AS visibility
+FROM symbols s JOIN (SELECT file_id, lang FROM files WHERE lang <> 'java') f ON f.file_id = s.file_id""",
+)
+def _(t):
+    rows = t.get("symbols").select("file_id", "rel", "name", "line").join(t.get("files").filter("lang <> 'java'").select("file_id", "lang"), "file_id").withColumn("t", F.expr(_TEMPLATE))
+    source = F.concat(F.lit("\n\n"), F.expr("array_join(transform(array_sort(collect_list(struct(line, t))), x -> x.t), '\\n\\n\\n\\n')"))
+    files = rows.groupBy("file_id", "rel", "lang").agg(source.alias("content"))
+    return tables.symbols(tables.parse(files)).select("file_id", "sym_id", "name", "kind", "line", "signature", "visibility")
