@@ -89,8 +89,10 @@ RULES = {
     ),
 }
 
-#: Words before a parenthesis that aren't calls, and that no rule takes for a name.
+#: Words before a parenthesis that aren't calls.
 NOT_CALLS = frozenset("if for while switch return catch sizeof and or not in is lambda def class assert await async yield del elif else except with func fn function typeof instanceof match loop unsafe where impl struct enum trait interface super this static_assert alignas decltype defined import case do throw".split())
+#: Words that no rule takes for a name.
+NOT_NAMES = frozenset("if for while switch return catch else do case throw sizeof".split())
 #: ``new(...)`` is a call in some languages only.
 NEW = frozenset({"typescript", "java", "cpp", "c"})
-CALL = re.compile(r"(?P<before>\bnew\s+|\bfn\s+|\bfunc\s+|\bfunction\s+|\bdef\s+|\bclass\s+)?(?P<n>[A-Za-z_$][\w$]*)\s*(?:::<[^()]*>)?\(")
+CALL = re.compile(r"(?P<before>\bnew\s+|\bfn\s+|\bfunc\s+|\bfunction\s+|\bdef\s+|\bclass\s+)?(?<![\w$])(?P<n>[A-Za-z_$][\w$]*+)\s*+(?:::<[^()>]*+>)?\(")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from ..langs import EXTENSIONS
 from .mask import mask
-from .rules import CALL, NEW, NOT_CALLS, RULES
+from .rules import CALL, NEW, NOT_CALLS, NOT_NAMES, RULES
 
 
 @dataclass
@@ -203,7 +203,7 @@ def _braces(text: str, lang: str):
                 if not aliases & set(where) or not (m := pattern.match(line)):
                     continue
                 name = m["n"]
-                if name in NOT_CALLS or name == "new" and lang in NEW or kind == "field" and name in ("return", "case", "default", "public", "private", "protected"):
+                if name in NOT_NAMES or name == "new" and lang in NEW or kind == "field" and name in ("return", "case", "default", "public", "private", "protected"):
                     continue
                 if lang == "cpp" and kind == "field" and "(" in line.split("=")[0]:
                     continue
