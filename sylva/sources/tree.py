@@ -44,6 +44,7 @@ def walk(spark: SparkSession, root: str, tree: str = ".") -> DataFrame:
     if "://" in root:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         return rows.select(F.lit(tree).alias("tree"), F.expr(f"substring(path, instr(path, {_quoted(root.rstrip('/') + '/')}) + {len(root.rstrip('/')) + 1})").alias("rel"), "content")
+    root = os.path.abspath(root)  # the workers' folder is another
     rels = list_files(root)
     paths = spark.createDataFrame([(r,) for r in rels], "rel string").repartition(max(1, min(len(rels) // 64 + 1, 4096)))
 
