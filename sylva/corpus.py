@@ -35,7 +35,7 @@ FROM paths WHERE ext <> 'rb' AND rel NOT LIKE '.cache/%' AND rel NOT LIKE 'node_
 SELECT file_id, rel, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line, name) - 1 AS INTEGER) AS sym_id, name, kind,
   concat(CASE WHEN visibility = 'private' THEN 'static ' ELSE 'pub ' END, kind, ' ', name, '(a: int, b: str) {{') AS signature, line, visibility
 FROM (
-  SELECT file_id, rel, concat('sym_', (pk * 7 + (j % 5) * 13) % 211) AS name, {_KIND} AS kind, CAST(3 + 4 * j AS INTEGER) AS line,
+  SELECT file_id, rel, concat('sym_', (pk * 7 + (j % 5) * 13) % 5003) AS name, {_KIND} AS kind, CAST(3 + 4 * j AS INTEGER) AS line,
     CASE WHEN (pk + 2 * j) % 5 = 0 THEN 'private' ELSE 'public' END AS visibility
   FROM files CROSS JOIN ({_SIX}) r WHERE j < p_size % 7) s""",
     "adjacent": """
@@ -57,7 +57,7 @@ SELECT DISTINCT f.file_id, f.rel, f.lang, CASE
 FROM adjacent a JOIN files f ON f.pk = a.src JOIN (
   SELECT pk, rel, substr(rel, 1, length(rel) - length(ext) - 1) AS stem, CASE WHEN pk % 19 = 4 THEN 'index' ELSE concat('part_', pk) END AS base FROM paths) t ON t.pk = a.dst""",
     "refs": """
-SELECT DISTINCT f.file_id, concat('sym_', l_suppkey % 211) AS name FROM lineitem l JOIN files f ON f.pk = l.l_partkey WHERE l_orderkey % 4 = 1""",
+SELECT DISTINCT f.file_id, concat('sym_', (l_partkey * 11 + l_suppkey) % 5003) AS name FROM lineitem l JOIN files f ON f.pk = l.l_partkey WHERE l_orderkey % 4 = 1""",
     # two trees: files and symbols that go, come, move, change their signature or kind
     "tree_files": """
 SELECT 'old' AS tree, rel, lang FROM files WHERE pk % 13 <> 1

@@ -10,6 +10,7 @@ from ..extract import tables
 from ..functions import text
 from ..langs import VENDORED
 from ..operators import diff, link, lookup, metrics, rank, scan, score
+from ..store import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,25 +25,31 @@ class Tree:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.get = lambda name: corpus.relation(spark, sf_dir, name)
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
+
+    def table(self, name: str, make=None) -> DataFrame:
+        """A relation that a query reads more than once, written out once."""
+        if name not in self.kept:
+            self.kept[name] = materialize(make() if make else self.get(name), name)
+        return self.kept[name]
 
     def imports(self) -> DataFrame:
-        return link.import_edges(link.resolve(self.get("imports"), self.get("files")))
+        return self.table("import_edges", lambda: link.import_edges(link.resolve(self.get("imports"), self.table("files"))))
 
     def references(self) -> DataFrame:
-        return link.reference_edges(self.get("refs"), self.get("symbols"))
+        return link.reference_edges(self.get("refs"), self.table("symbols"))
 
     def ranks(self, focus: bool = False) -> DataFrame:
-        files, symbols = self.get("files"), self.get("symbols")
+        files, symbols = self.table("files"), self.table("symbols")
         seeds = score.focus_seeds(files, [FOCUS_DIR]) if focus else None
         points = rank.teleport(rank.nodes(files, symbols), seeds)
-        return rank.pagerank(points, rank.edges(self.imports(), self.references()), stop=0.0)
+        return self.table(f"ranks-{focus}", lambda: rank.pagerank(points, rank.edges(self.imports(), self.references()), stop=0.0))
 
     def order(self) -> DataFrame:
-        return score.file_order(self.get("files"), score.file_scores(self.ranks()), score.in_degree(self.imports()))
+        return score.file_order(self.table("files"), score.file_scores(self.ranks()), score.in_degree(self.imports()))
 
     def scored(self) -> DataFrame:
-        return score.symbol_scores(self.get("symbols"), self.ranks())
+        return score.symbol_scores(self.table("symbols"), self.ranks())
 
 
 def query(name: str, oracle: str | None = None):
@@ -394,7 +401,7 @@ def _(t):
 
 
 def _diff(t) -> diff.Diff:
-    return diff.diff(t.get("tree_files"), t.get("tree_symbols"), t.get("tree_imports"))
+    return diff.diff(t.table("tree_files"), t.table("tree_symbols"), t.table("tree_imports"))
 
 
 @query("diff_files", "SELECT op, rel, new_rel, lang, symbols, severity FROM d_files")
