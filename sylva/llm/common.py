@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than this share of the rows is a heavy hitter; there are at most 1 / share of them.
-HEAVY_SHARE = 0.001
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sylva-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..store import materialize, shared_dir
 
+__all__ = ["components", "lookup_join", "materialize", "shared_dir"]
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: A key with more than this share of the rows is a heavy hitter; there are at most 1 / share of them.
+HEAVY_SHARE = 0.001
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int) -> DataFrame:
