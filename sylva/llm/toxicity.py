@@ -187,7 +187,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on a sample of about ``rows`` of the rows of ``labels(doc_id, toxic)``, chosen by a hash of the text.
+    """Fits on a sample of about ``rows`` of the rows of ``labels(doc_id, toxic)`` at most, chosen by a hash of the text; copies count once.
 
     Lexicons of two halves give the features of the other half for the
     regression; the lexicon of all is used afterwards. Without labels of both
@@ -196,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     n = labels.count()
     picked = docs.select("doc_id", "text").join(labels, "doc_id").filter(F.expr(f"pmod(xxhash64(text, 7), 1000000) < {min(1.0, rows / max(n, 1)) * 1e6}"))
+    picked = picked.select("text", "y").distinct()  # else a text that a third of the rows repeat would break the bound
     picked = materialize(picked.select("text", "y", F.expr("pmod(xxhash64(text, 8), 2)").alias("half")), "toxic-sample")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score, hits)`` for every row of ``docs``, whole texts; null texts count as empty.
 
-    ``hits``: up to 20 of the words found, as ``word>term/edits:context``.
+    ``hits``: the distinct finds, as ``word>term/edits:context``.
     """
     lexicon, weights = model.lexicon.weights, model.weights
 
@@ -236,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = Model(Lexicon(lexicon), weights)
         for batch in batches:
             found = [own.score(t.as_py()) for t in batch.column(1)]
-            hits = ["; ".join(dict.fromkeys(f"{w}>{t}/{e}:{c}" for w, t, e, c in h[:200])) for _, h in found]
+            hits = ["; ".join(dict.fromkeys(f"{w}>{t}/{e}:{c}" for w, t, e, c in h)) for _, h in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(hits, pa.string())], ["doc_id", "score", "hits"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double, hits string")

@@ -66,6 +66,16 @@ def test_learns_and_catches_misspellings(spark):
     assert sorted(r.doc_id for r in toxicity.keep(docs, model).collect()) == [i for i in range(400) if i % 4]
 
 
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    docs, labels = frames(spark, 120)
+    more = docs.filter("doc_id in (0, 1)").selectExpr("*", "explode(sequence(1, 300)) as k").selectExpr("k * 1000 + doc_id as doc_id", *docs.columns[1:])
+    marks = more.selectExpr("doc_id", "1 as quality", "int(doc_id % 2 = 0) as toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, label: seen.append(df.count()) or df)
+    model = toxicity.train(docs.unionByName(more), labels.unionByName(marks))
+    assert seen == [120] and len(model.weights) == len(toxicity.FEATURES)
+
+
 def test_without_labels(spark):
     docs, labels = frames(spark, 20)
     for some in (labels.limit(0), labels.filter("toxic = 0"), labels.withColumn("toxic", labels.toxic.cast("string")).filter("toxic = 'x'")):
