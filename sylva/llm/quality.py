@@ -9,6 +9,7 @@ model. The score is the logistic of the difference of the two log densities
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,17 +38,13 @@ def statistics(text: bytes | None) -> list[float]:
     shares = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _TABLE / n
     words = text.split()
     m = max(1, len(words))
-    distinct = len(set(words))
+    seen = Counter(words)
     repeats = sum(map(bytes.__eq__, words, words[1:]))
-    few = words[:: max(1, m // 512)]
-    seen: dict[bytes, int] = {}
-    for w in few:
-        seen[w] = seen.get(w, 0) + 1
     lines = [x for x in text.split(b"\n") if x]
     k = max(1, len(lines))
     stopped = sum(x.endswith((b".", b"!", b"?")) for x in lines)
     long = sum(len(w) > 12 for w in words)
-    share = [*shares, long / m, distinct / m, max(seen.values(), default=0) / max(1, len(few)), repeats / m, 1 - len(set(lines)) / k, stopped / k]
+    share = [*shares, long / m, len(seen) / m, max(seen.values(), default=0) / m, repeats / m, 1 - len(set(lines)) / k, stopped / k]
     a = np.arcsin(np.sqrt(np.clip(share, 0, 1)))
     c = len(CLASSES) + 1
     return [*a[:c].tolist(), float(np.log1p(len(words))), float(np.log1p(n / m)), float(a[c]), float(a[c + 1]), float(a[c + 2]), float(a[c + 3]), float(np.log1p(len(lines))), float(a[c + 4]), float(a[c + 5])]

@@ -26,6 +26,16 @@ def test_statistics_of_odd_texts():
         assert len(row) == quality.SIZE and np.isfinite(row).all()
 
 
+def test_commonest_word_is_counted_over_the_whole_text():
+    at = quality.FEATURES.index("top_word")
+    periodic = [b"a" if i % 2 == 0 else b"w%d" % i for i in range(4096)]
+    block = [b"w%d" % i for i in range(20_000)]
+    block[10_001:10_039] = [b"a"] * 38
+    for words in (periodic, block):
+        share = words.count(b"a") / len(words)
+        assert np.isclose(quality.statistics(b" ".join(words))[at], np.arcsin(np.sqrt(share)))
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "one two. three", 5), (3, "one two. three", 5), (None, "a", 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(3, 1), (2, 0), (None, 1), (1, None)], "doc_id long, quality int")
