@@ -479,6 +479,21 @@ def _(t):
     return t.get("pages").select("page_id", text.xml_escape_column(odd, True).alias("attribute"), text.xml_escape_column(odd, False).alias("content"))
 
 
+#: The SQL of the two above ends at character 400 of a page; here whole pages are escaped, with the odd characters after them.
+_WHOLE = "concat(html, chr(9), chr(10), chr(13), chr(1), chr(92), chr(34))"
+
+
+@query("json_escape_whole", ORACLES["json_escape"].replace(_ODD, _WHOLE))
+def _(t):
+    return t.get("pages").select("page_id", text.json_escape_column(F.expr(_WHOLE)).alias("s"))
+
+
+@query("xml_escape_whole", ORACLES["xml_escape"].replace(_ODD, _WHOLE))
+def _(t):
+    odd = F.expr(_WHOLE)
+    return t.get("pages").select("page_id", text.xml_escape_column(odd, True).alias("attribute"), text.xml_escape_column(odd, False).alias("content"))
+
+
 @query("word_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words FROM documents")
 def _(t):
     return t.get("documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
