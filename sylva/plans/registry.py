@@ -21,10 +21,10 @@ _SYM = "coalesce(sym_id, -1) as sym_id"
 
 
 class Tree:
-    """The derived relations of one data folder, and what is linked and ranked from them."""
+    """The derived relations of one data folder, and what is linked and ranked from them; ``extra`` recipes go before the known ones."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.get = lambda name: corpus.relation(spark, sf_dir, name)
+    def __init__(self, spark: SparkSession, sf_dir: str, extra: dict[str, str] | None = None) -> None:
+        self.get = lambda name: corpus.relation(spark, sf_dir, name, extra)
         self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
 
     def table(self, name: str, make=None) -> DataFrame:
@@ -52,11 +52,19 @@ class Tree:
         return score.symbol_scores(self.table("symbols"), self.ranks())
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, linked: bool = False):
+    """Registers a query; one that is ``linked``, or whose SQL reads links, also as ``name_whole`` over the links of all orders."""
+
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Tree(spark, sf_dir))
+        whole = None
         if oracle is not None:
             ORACLES[name] = corpus.with_recipes(oracle, EXTRA, materialized=True)
+            whole = corpus.with_recipes(oracle, EXTRA | corpus.WHOLE, materialized=True)
+        if linked or whole != ORACLES.get(name):
+            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Tree(spark, sf_dir, corpus.WHOLE))
+            if whole is not None:
+                ORACLES[f"{name}_whole"] = whole
         return f
 
     return add
@@ -544,7 +552,7 @@ def _(t):
     return t.get("symbols").select("file_id", "sym_id", text.strip_params_column(text.tidy_column(F.col("signature"))).alias("sig"))
 
 
-@query("ladder_pack")
+@query("ladder_pack", linked=True)
 def _(t):
     packed = budget.pack_tables(t.get("files"), t.get("symbols"), t.order(), t.scored(), t.imports(), budget.Options(budget=4096, repo="derived"))
     return t.spark.createDataFrame([(f.rel, f.rank, f.one_line, f.omitted, len(f.symbols)) for f in packed.files] or [], "rel string, pos int, one_line boolean, omitted int, symbols int")

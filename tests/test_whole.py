@@ -12,3 +12,21 @@ def test_whole_pages_are_escaped(spark, sf):
     assert {r.page_id: f'"{r.s}"' for r in registry.QUERIES["json_escape_whole"](spark, sf).collect()} == {k: text.json_string(v) for k, v in pages.items()}
     for r in registry.QUERIES["xml_escape_whole"](spark, sf).collect():
         assert (r.attribute, r.content) == (text.xml_escape(pages[r.page_id], True), text.xml_escape(pages[r.page_id]))
+
+
+def test_all_orders_give_links(spark, sf):
+    lines = corpus.relation(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()
+    files = {r.pk: r.file_id for r in corpus.relation(spark, sf, "files").collect()}
+    refs = {(files[r.l_partkey], f"sym_{(r.l_partkey * 11 + r.l_suppkey) % 5003}") for r in lines if r.l_partkey in files}
+    orders: dict = {}
+    for r in sorted(lines, key=lambda r: (r.l_linenumber, r.l_partkey, r.l_suppkey)):
+        orders.setdefault(r.l_orderkey, []).append(r.l_partkey)
+    adjacent = {p for parts in orders.values() for p in zip(parts, parts[1:])}
+    get = lambda name: [tuple(r) for r in corpus.relation(spark, sf, name, corpus.WHOLE).collect()]
+    assert sorted(get("refs")) == sorted(refs) and sorted(get("adjacent")) == sorted(adjacent)
+
+
+def test_queries_of_links_have_a_whole_form():
+    linked = {"import_edges", "ref_edges", "resolve_c", "in_degree", "out_degree", "pagerank_20", "pagerank_focus", "file_scores", "file_order", "diff_severity", "ladder_pack"}
+    assert {f"{n}_whole" for n in linked} <= set(registry.QUERIES)
+    assert all("l_orderkey %" not in sql for n, sql in registry.ORACLES.items() if n.endswith("_whole"))
