@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import budget, corpus
 from ..extract import tables
 from ..functions import text
-from ..langs import VENDORED
+from ..langs import PRESETS, VENDORED
 from ..operators import diff, link, lookup, metrics, rank, scan, score
+from ..render import markdown
 from ..store import materialize
 
 QUERIES: dict = {}
@@ -513,9 +514,12 @@ def _(t):
 @query("answer_coverage", """SELECT conv_id AS id, map_id, CASE WHEN conv_id % 2 = 0 THEN contains(m.text, a) OR contains(m.text, b) ELSE contains(m.text, a) AND contains(m.text, b) END AS covered
 FROM (SELECT conv_id, substr(text, 1, 4) AS a, substr(text, 5, 5) AS b FROM conversations WHERE turn = 0) q, (SELECT doc_id AS map_id, text FROM documents WHERE doc_id < 3) m""")
 def _(t):
-    questions = t.get("conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.expr("if(conv_id % 2 = 0, 'any', 'all')").alias("match"), F.expr("array(substr(text, 1, 4), substr(text, 5, 5))").alias("expect"))
     maps = t.get("documents").filter("doc_id < 3").select(F.col("doc_id").alias("map_id"), "text")
-    return metrics.answer_coverage(questions, maps)
+    return metrics.answer_coverage(_questions(t), maps)
+
+
+def _questions(t) -> DataFrame:
+    return t.get("conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.expr("if(conv_id % 2 = 0, 'any', 'all')").alias("match"), F.expr("array(substr(text, 1, 4), substr(text, 5, 5))").alias("expect"))
 
 
 @query("explore_tokens", """SELECT run_id, CAST(sum(tokens) FILTER (WHERE seq <= coalesce(first_edit, 9223372036854775807)) AS BIGINT) AS before_edit, CAST(sum(tokens) AS BIGINT) AS total, min(first_edit) IS NULL AS capped
@@ -558,6 +562,16 @@ def _(t):
     return t.spark.createDataFrame([(f.rel, f.rank, f.one_line, f.omitted, len(f.symbols)) for f in packed.files] or [], "rel string, pos int, one_line boolean, omitted int, symbols int")
 
 
+@query("answer_coverage_whole")
+def _(t):
+    """All rendered maps of the tree, one a preset of the budget, where ``answer_coverage`` searches documents of three ids."""
+    tree = Tree(t.spark, t.sf_dir, corpus.WHOLE)
+    order, scored = tree.table("order", tree.order), tree.table("scored", tree.scored)
+    pack = lambda n: budget.pack_tables(tree.table("files"), tree.table("symbols"), order, scored, tree.imports(), budget.Options(budget=n, repo="derived"))
+    maps = [(name, markdown.render(pack(n))) for name, n in PRESETS.items()]
+    return metrics.answer_coverage(_questions(t), t.spark.createDataFrame(maps, "map_id string, text string"))
+
+
 _TEMPLATE = "CASE lang WHEN 'python' THEN concat('def ', name, '(a):') WHEN 'typescript' THEN concat('function ', name, '(a) {}') WHEN 'rust' THEN concat('fn ', name, '(a: u32) {}') WHEN 'go' THEN concat('func ', name, '(a int) {}') ELSE concat('int ', name, '(int a) {}') END"
 
 

@@ -2,6 +2,8 @@
 
 from sylva import corpus
 from sylva.functions import text
+from sylva.langs import PRESETS
+from sylva.operators import metrics
 from sylva.plans import registry
 
 
@@ -30,3 +32,13 @@ def test_queries_of_links_have_a_whole_form():
     linked = {"import_edges", "ref_edges", "resolve_c", "in_degree", "out_degree", "pagerank_20", "pagerank_focus", "file_scores", "file_order", "diff_severity", "ladder_pack"}
     assert {f"{n}_whole" for n in linked} <= set(registry.QUERIES)
     assert all("l_orderkey %" not in sql for n, sql in registry.ORACLES.items() if n.endswith("_whole"))
+
+
+def test_answers_are_sought_in_every_map(spark, sf):
+    questions = spark.createDataFrame([(1, "any", ["b", "z"]), (2, "all", ["b", "z"]), (3, "all", ["b", "c"])], "id long, match string, expect array<string>")
+    maps = spark.createDataFrame([(7, "a b c"), (9, "x z"), (12345, "b z")], "map_id long, text string")
+    got = {(r.id, r.map_id) for r in metrics.answer_coverage(questions, maps).collect() if r.covered}
+    assert got == {(1, 7), (1, 9), (1, 12345), (2, 12345), (3, 7)}
+    whole = registry.QUERIES["answer_coverage_whole"](spark, sf).collect()
+    asked = corpus.relation(spark, sf, "conversations").filter("turn = 0").count()
+    assert {r.map_id for r in whole} == set(PRESETS) and len(whole) == asked * len(PRESETS)
