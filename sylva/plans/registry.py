@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import budget, corpus
 from ..extract import tables
 from ..functions import text
-from ..langs import PRESETS, VENDORED
+from ..langs import KINDS, PRESETS, VENDORED
 from ..operators import diff, link, lookup, metrics, rank, scan, score
 from ..render import markdown
 from ..store import materialize
@@ -585,3 +585,52 @@ def _(t):
     source = F.concat(F.lit("\n\n"), F.expr("array_join(transform(array_sort(collect_list(struct(line, t))), x -> x.t), '\\n\\n\\n\\n')"))
     files = rows.groupBy("file_id", "rel", "lang").agg(source.alias("content"))
     return tables.symbols(tables.parse(files)).select("file_id", "sym_id", "name", "kind", "line", "signature", "visibility")
+
+
+def _forms() -> list[tuple[str, ...]]:
+    """(lang, kind, kind found, line before, line, line after, visibility, kind of the line before, its visibility); ``$`` is the name, ``^`` the name in capitals.
+
+    A kind that a language lacks is written as the nearest one it has.
+    """
+    out = []
+    for lang, holder, end, private, own in (
+        ("python", "class Holder:", "", False, {"function": "def $(a): pass", "method": "    def $(a): pass", "class": "class $: pass", "constant": "^ = 1", "field": "    $: int = 0"}),
+        ("typescript", "class Holder {", "}", False, {"function": "function $(a) {}", "method": "    $(a) {}", "class": "class $ {}", "interface": "interface $ {}", "enum": "enum $ {}", "type": "type $ = string;", "constant": "export const ^ = 1;", "field": "    $: number;"}),
+        ("rust", "struct Holder {", "}", True, {"function": "fn $(a: u32) {}", "method": "    fn $(a: u32) {}", "class": "struct $ {}", "interface": "trait $ {}", "enum": "enum $ {}", "type": "type $ = u32;", "constant": "const ^: u32 = 1;", "field": "    $: u32,", "module": "mod $ {}"}),
+        ("go", "type Holder struct {", "}", True, {"function": "func $(a int) {}", "method": "func (h Holder) $(a int) {}", "class": "type $ struct {}", "interface": "type $ interface {}", "constant": "const ^ = 1", "field": "    $ int"}),
+        ("java", "class Holder {", "}", False, {"method": "    int $(int a) { return a; }", "class": "class $ {}", "interface": "interface $ {}", "enum": "enum $ {}", "field": "    int $ = 0;"}),
+        ("c", "struct Holder {", "};", False, {"function": "int $(int a) {}", "class": "struct $ {};", "enum": "enum $ { ^ };", "type": "typedef int $;", "field": "    int $;"}),
+        ("cpp", "struct Holder {", "};", False, {"function": "int $(int a) {}", "method": "    int $(int a) {}", "class": "class $ {};", "enum": "enum $ { ^ };", "type": "using $ = int;", "field": "    int $ = 0;", "module": "namespace $ {}"}),
+    ):
+        near = {"function": "method", "method": "function", "constant": "field"}
+        for kind in KINDS:
+            found = kind if kind in own else near.get(kind, "class")
+            line, before, after, held = own[found], "", "", ""
+            if line.startswith(" "):
+                before, after, held = holder, end, "class"
+            if lang == "rust" and found == "method":
+                before, held = "impl Holder {", ""
+            # in Go capitals are public
+            out.append((lang, kind, found, before, line, after, "private" if private and (lang, found) != ("go", "constant") else "public", held, "private" if lang == "rust" else "public"))
+    return out
+
+
+_FORM = ("lang", "kind", "found", "opens", "form", "closes", "seen", "held", "held_seen")
+_LINE = "replace(replace(form, '$', name), '^', upper(name))"
+_FORMED = f"SELECT s.*, {', '.join('m.' + c for c in _FORM if c not in ('kind', 'lang'))} FROM (SELECT file_id, name, kind, line FROM symbols) s JOIN files f ON f.file_id = s.file_id JOIN (VALUES {', '.join(map(repr, _forms()))}) m({', '.join(_FORM)}) ON m.lang = f.lang AND m.kind = s.kind"
+
+
+@query(
+    "extract_symbols_whole",
+    f"""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line, name) - 1 AS INTEGER) AS sym_id, name, kind, line, signature, visibility
+FROM (SELECT file_id, CASE WHEN starts_with(replace(form, 'export ', ''), '^') OR contains(form, 'const ^') THEN upper(name) ELSE name END AS name, found AS kind, line, trim({_LINE}) AS signature, seen AS visibility FROM ({_FORMED})
+UNION ALL SELECT file_id, 'Holder', held, line - 1, opens, held_seen FROM ({_FORMED}) WHERE held <> '')""",
+)
+def _(t):
+    """All languages, each symbol in the form of its kind, where ``extract_symbols`` has functions only and no Java."""
+    forms = F.broadcast(t.spark.createDataFrame(_forms(), ", ".join(f"{c} string" for c in _FORM)))
+    rows = t.get("symbols").select("file_id", "rel", "name", "kind", "line").join(t.get("files").select("file_id", "lang"), "file_id").join(forms, ["lang", "kind"])
+    rows = rows.withColumn("t", F.expr(f"concat_ws('\\n', opens, {_LINE}, closes)"))
+    source = F.concat(F.lit("\n"), F.expr("array_join(transform(array_sort(collect_list(struct(line, t))), x -> x.t), '\\n\\n')"))
+    files = rows.groupBy("file_id", "rel", "lang").agg(source.alias("content"))
+    return tables.symbols(tables.parse(files)).select("file_id", "sym_id", "name", "kind", "line", "signature", "visibility")

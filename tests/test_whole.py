@@ -2,7 +2,7 @@
 
 from sylva import corpus
 from sylva.functions import text
-from sylva.langs import PRESETS
+from sylva.langs import KINDS, LANGUAGES, PRESETS
 from sylva.operators import metrics
 from sylva.plans import registry
 
@@ -42,3 +42,13 @@ def test_answers_are_sought_in_every_map(spark, sf):
     whole = registry.QUERIES["answer_coverage_whole"](spark, sf).collect()
     asked = corpus.relation(spark, sf, "conversations").filter("turn = 0").count()
     assert {r.map_id for r in whole} == set(PRESETS) and len(whole) == asked * len(PRESETS)
+
+
+def test_symbols_of_every_language_and_kind_are_extracted(spark, sf):
+    got = registry.QUERIES["extract_symbols_whole"](spark, sf).join(corpus.relation(spark, sf, "files").select("file_id", "lang"), "file_id").collect()
+    kinds = {}
+    for r in got:
+        kinds.setdefault(r.lang, set()).add(r.kind)
+    assert set(kinds) == set(LANGUAGES) and {"class", "field"} <= set.intersection(*kinds.values())
+    assert "method" in kinds["java"] and set().union(*kinds.values()) == set(KINDS)
+    assert sum(r.name != "Holder" for r in got) == corpus.relation(spark, sf, "symbols").count()
