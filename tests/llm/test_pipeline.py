@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from sylva.llm import entry
+from sylva.llm import entry, mixing
 
 
 def test_stages_on_documents(spark, sf):
@@ -23,6 +23,14 @@ def test_stages_on_empty_documents(spark, sf):
     assert all(stage(spark, docs, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_mixing_keeps_documents_without_an_id(spark):
+    rows = [(None, "a b c", "x"), (None, "d e f g", "x"), (1, "h i", "x"), (2, "", "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = sorted((r.doc_id or 0, r.size, r.taken // r.size) for r in mixing.mix(docs).filter("taken > 0").collect())
+    got = sorted((r.doc_id or 0, len(r.text.split()), r.copies) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert got == mixed and any(i == 0 for i, _, _ in got)
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, sf, name):
     con = duckdb.connect()
