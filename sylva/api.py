@@ -36,14 +36,14 @@ class Parsed:
 
     def __init__(self, spark: SparkSession, root: str, opts: MapOptions) -> None:
         self.spark, self.root, self.opts = spark, root, opts
-        files = materialize(tree.discover(spark, root, None), "files")
+        files = tree.discover(spark, root, None)  # stands on a written table
         if files.isEmpty():
             raise tree.NoSupportedFiles(tree.empty_hint(spark, root))
         if opts.langs:
             files = files.filter(F.col("lang").isin(list(opts.langs)))
             if files.isEmpty():
                 raise tree.NoMatchingLanguage(f"no files of {', '.join(opts.langs)}")
-            files = materialize(files.drop("file_id").transform(tree.scan.number), "files")
+            files = files.drop("file_id").transform(tree.scan.number)
         cache = Cache(spark, root, opts.cache)
         self.parsed = materialize(cache.parse(files), "parsed")
         cache.save(self.parsed)
@@ -137,7 +137,7 @@ def diff(spark: SparkSession, old: str, new: str, no_private: bool = False, lang
     """Of two directories; what is returned is as long as the report of it."""
     sides, skips = [], {}
     for name, root in (("old", old), ("new", new)):
-        files = materialize(tree.discover(spark, root, langs, name), f"{name}-files")
+        files = tree.discover(spark, root, langs, name)
         sides.append(tables.parse(files))
         skips[name] = (files.filter("content is null").count(), 0)
     parsed = materialize(sides[0].unionByName(sides[1]), "both")

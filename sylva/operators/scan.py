@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..langs import EXTENSIONS, LANGUAGES, TEST_SEGMENTS, UNSUPPORTED_NAMES, VENDORED
+from ..store import materialize
 
 
 def segments(rel: Column) -> Column:
@@ -46,14 +47,21 @@ def discover(paths: DataFrame, ignore: list[tuple[str, bool, bool]] = (), langs:
 def number(files: DataFrame) -> DataFrame:
     """Adds ``file_id``, 0 up in path order.
 
-    A window without partitions would pass all rows through one task, so ranges are sorted, counted and
-    offset. The counts are a row a range.
+    A window without partitions would pass all rows through one task, so the rows are range-sorted and written
+    out once, each with its range and its place there; the ranges, a row each, are then counted and offset. What a range holds is thus
+    decided once: to sort again for the counts could cut the ranges elsewhere. Repeated paths are numbered in any order.
     """
-    spread = files.repartitionByRange("rel").sortWithinPartitions("rel").withColumn("range", F.spark_partition_id())
-    counts = files.sparkSession.createDataFrame([(r.range, r.n) for r in spread.groupBy("range").agg(F.count("*").alias("n")).collect()], "range int, n long")
-    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("range")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("range").orderBy("rel")) - 1
-    return spread.withColumn("own", own).join(F.broadcast(starts), "range").withColumn("file_id", F.col("start") + F.col("own")).drop("range", "own", "start")
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place in the lower 33
+    placed = materialize(files.repartitionByRange("rel").sortWithinPartitions("rel").withColumn("_place", place), "numbered")
+    split = placed.select(F.shiftright("_place", 33).alias("_range"))
+    counts = split.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r._range, total))
+        total += r.n
+    table = F.broadcast(files.sparkSession.createDataFrame(starts, "_range long, _start long"))
+    own = placed.withColumn("_range", F.shiftright("_place", 33)).join(table, "_range")
+    return own.withColumn("file_id", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_start", "_place")
 
 
 def parse_ignore(lines: DataFrame) -> DataFrame:

@@ -211,3 +211,43 @@ def test_watch(spark, tmp_path):
     refresh.watch(spark, src, out, str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(f"{out}/1").collect()
     assert [(r.rel, [s.name for s in r.symbols]) for r in got] == [("a.py", ["three"])]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_no_wide_row_is_lost_in_numbering(spark, adaptive):
+    import random
+
+    from sylva.operators import scan
+
+    random.seed(3)
+    rows = [(f"d{k % 7}/f{k:04}.py", random.randbytes(16_000).hex()) for k in range(1000)]
+    random.shuffle(rows)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, adaptive)
+    try:
+        frame = spark.createDataFrame(rows, "rel string, content string").repartition(6)
+        got = scan.number(frame).selectExpr("rel", "file_id", "length(content) as n").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(r.rel, r.file_id) for r in sorted(got, key=lambda r: r.file_id)] == [(rel, k) for k, rel in enumerate(sorted(r for r, _ in rows))]
+    assert {r.n for r in got} == {32_000}
+
+
+def test_every_file_of_a_larger_tree_is_mapped(spark, tmp_path):
+    import random
+
+    random.seed(4)
+    for k in range(256):
+        at = tmp_path / "big" / f"p{k % 9}" / f"m{k}.py"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(f"def name_{k}(x):\n    return x\n\n\nTEXT = '{random.randbytes(16_000).hex()}'\n")
+    m = api.build_map(spark, str(tmp_path / "big"))
+    assert (m.total_files, m.skipped) == (256, 0)
+    assert len(api.find_symbol(spark, str(tmp_path / "big"), "name_255")) == 1
+
+
+def test_numbering_nothing(spark):
+    from sylva.operators import scan
+
+    assert scan.number(spark.createDataFrame([], "rel string, content string")).collect() == []
