@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import materialize, shared_dir
 
-__all__ = ["components", "lookup_join", "materialize", "shared_dir"]
+__all__ = ["components", "fresh", "lookup_join", "materialize", "running_sums", "shared_dir", "spread_join"]
 
 #: A key with more than this share of the rows is a heavy hitter; there are at most 1 / share of them.
 HEAVY_SHARE = 0.001
+#: Rows of one key that ``spread_join`` lets meet in one place.
+TOGETHER = 4096
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each behind as many underscores as keep it apart from ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``big`` with ``small`` (one row a key; ``weight``: the key's rows in ``big``; ``total``: all rows).
 
     Keys above ``HEAVY_SHARE`` of the rows are broadcast: by pigeonhole at most
-    ``1 / HEAVY_SHARE`` rows at any input size. The others shuffle, none with more than that share.
+    ``1 / HEAVY_SHARE`` rows at any input size; ``small`` has narrow rows, so their bytes are bounded too. The others shuffle, none with more than that share.
     """
     bound = total * HEAVY_SHARE
     heavy, light = small.filter(F.col(weight) > bound), small.filter(F.col(weight) <= bound)
@@ -26,6 +39,41 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, weight: str, total:
     return heavy_part.unionByName(light_part)
 
 
+def spread_join(big: DataFrame, wide: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``wide`` (one row a key, of any width; ``weight``: the key's rows in ``big``; ``total``: all rows), without ``weight``.
+
+    A key of many rows is split: its row of ``wide`` goes to a place for each ``TOGETHER`` of them, and nothing wide is broadcast.
+    """
+    parts = F.ceil(F.col(weight) / TOGETHER).cast("int")
+    counted = wide.select(key, weight).withColumn("_parts", parts)
+    salted = lookup_join(big, counted, key, weight, total).withColumn("_salt", F.expr(f"cast(pmod(xxhash64({', '.join(big.columns)}), _parts) as int)")).drop("_parts", weight)
+    copies = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], **sums: str) -> DataFrame:
+    """``rows`` with a column for each of ``sums``: the sum of that column over the rows of the same ``by`` that come before in ``order``.
+
+    The rows are range-sorted by ``by`` and ``order`` and written once with their range. Sums run within a range, and the totals of the ranges before,
+    a row for each group and range, are added: neither a large group nor the whole passes through one task. Rows alike in ``by``
+    and ``order`` come in any order. Nulls in ``by`` are a group.
+    """
+    part, of, *keys = fresh([*rows.columns, *sums], "range", "range_of", *(f"key_{c}" for c in by))
+    bases = fresh([*rows.columns, *sums, part, of, *keys], *(f"base_{c}" for c in sums))
+    placed = materialize(rows.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    totals = placed.groupBy(*by, part).agg(*(F.sum(c).alias(b) for b, c in zip(bases, sums.values())))
+    past = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(part).alias(of), *(F.coalesce(F.sum(b).over(past), F.lit(0)).alias(b) for b in bases))
+    totals = materialize(totals, "range-totals")
+    within = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumns({name: F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()})
+    same = F.col(part) == F.col(of)
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    out = own.join(totals, same)
+    return out.withColumns({name: F.col(name) + F.col(b) for name, b in zip(sums, bases)}).select(*rows.columns, *sums)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)``, the component's least node; isolated nodes are absent.
 

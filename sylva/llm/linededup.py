@@ -1,13 +1,14 @@
 """Line dedup by probing sharded minimal perfect hash tables.
 
 A line's key is hashed to 128 bits. Counts and the largest holder of each
-distinct hash are summed by Spark; the hashes that reach the threshold are dealt
+distinct hash are summed by Spark; all distinct hashes are dealt
 into shards by their first bits, and every shard is built on an executor:
 a minimal perfect hash (levels of bit arrays; a key sits at the first level where it has
 a bit for itself, its number is the rank of that bit) that indexes arrays of
-fingerprints, counts and largest holders. Documents probe the arrays; lines are
-never joined. Tables travel in blocks of at most ``BLOCK_KEYS`` keys; a document's
-findings in several blocks are merged by its key.
+fingerprints, counts and largest holders. A document's lines probe the arrays: each line sends its hash to its shard, where
+the table comes first in the order and the probes stream past it; only the lines that go come back. No lines are joined, and no table
+leaves its shard, so that neither tables nor passes over the corpus grow in any one place. A shard that a common line makes
+hot is split, and its table is copied to every part.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import HEAVY_SHARE, fresh, materialize
 
 LEAST_LENGTH, LEAST_DOCS = 40, 5
-#: Keys in a shard, about, and in the shards that are sent out at once (some 21 bytes a key).
-SHARD_KEYS, BLOCK_KEYS = 1 << 17, 1 << 22
+#: Keys in a shard, about (some 21 bytes a key), and the least number of probes that splits one.
+SHARD_KEYS, PART_PROBES = 1 << 17, 1 << 19
 LOWEST = -(1 << 63)
 
 
@@ -135,111 +136,118 @@ def line_counts(docs: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
     return own.mapInArrow(run, "a bigint, b bigint, n bigint, last bigint").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
-def tables(frequent: DataFrame, bits: int) -> DataFrame:
-    """``(shard, data)``: a table for each value of the first ``bits`` bits."""
+def shard_of(a: np.ndarray, bits: int) -> np.ndarray:
+    return (a >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(a), np.int64)
+
+
+def tables(lines: DataFrame, bits: int) -> DataFrame:
+    """``(shard, data)``: a table of ``lines(a, b, n, last)`` for each value of the first ``bits`` bits."""
 
     def build(part: pa.Table) -> pa.Table:
         a, b = (part.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
         table = Table.build(a, b, part.column("n").to_numpy(), part.column("last").to_numpy())
         return pa.table({"shard": pa.array([part.column("shard")[0].as_py()], pa.int64()), "data": pa.array([table.dump()], pa.binary())})
 
-    shard = F.expr(f"shiftrightunsigned(a, {64 - bits})") if bits else F.lit(0).cast("bigint")
-    return frequent.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard bigint, data binary")
+    return lines.withColumn("shard", _shard(bits)).groupBy("shard").applyInArrow(build, "shard bigint, data binary")
 
 
-def dedup(docs: DataFrame, least: int = LEAST_LENGTH, copies: int = LEAST_DOCS, block_keys: int = BLOCK_KEYS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with the lines that stay as ``text``, and ``n_lines``, ``n_dropped``.
+def _shard(bits: int):
+    return F.expr(f"shiftrightunsigned(a, {64 - bits})") if bits else F.lit(0).cast("bigint")
 
-    Keys of at least ``least`` code points in at least ``copies`` rows lose all lines but those of the rows with the
-    largest doc_id that holds them (a null doc_id is the smallest). Null or empty texts are one empty line. Columns of ``docs`` named
-    ``n_lines`` or ``n_dropped`` are replaced; the others stay as they are.
-    """
-    frequent = materialize(line_counts(docs, least).filter(F.col("n") >= copies), "lines")
-    n = frequent.count()
+
+_PROBE = "shard bigint, salt int, kind int, data binary, a bigint, b bigint, id bigint, h bigint, line int"
+
+
+def repeated(docs: DataFrame, least: int = LEAST_LENGTH, copies: int = LEAST_DOCS, shard_keys: int = SHARD_KEYS, part_probes: int = PART_PROBES) -> DataFrame:
+    """``(id, h, drop)`` of ``docs(id, h, text binary)``, for those that lose lines: the numbers of the lines that go."""
+    lines = materialize(line_counts(docs.selectExpr("id as doc_id", "text"), least), "lines")
+    n, total = lines.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(0, (n // shard_keys).bit_length())
-    built = materialize(tables(frequent, bits), "line-tables")
-    blocks = max(1, -(-n // block_keys))
-    spark, kept = docs.sparkSession, [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__drop", "__h")]
-
-    def probing(data):
-        """Of each row of (doc_id, text): its lines and those to drop."""
-
-        def run(ids: list, texts: list) -> list[tuple[list[bytes], list[int]]]:
-            shards = data()
-            split, keys, where = [], [], []
-            for k, t in enumerate(texts):
-                lines = (t or b"").split(b"\n")
-                split.append((lines, []))
-                for j, x in enumerate(lines):
+    built = materialize(tables(lines, bits), "line-tables")
+    # a shard of more than its share: by pigeonhole few, whatever the size of the corpus
+    bound = max(part_probes, int(total * HEAVY_SHARE))
+    hot = lines.groupBy(_shard(bits).alias("shard")).agg(F.sum("n").alias("n")).filter(F.col("n") > bound)
+    parts = {r.shard: -(-r.n // bound) for r in hot.collect()}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, where, ids, hashes = [], [], [], []
+            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for j, x in enumerate((text.as_py() or b"").split(b"\n")):
                     if len(x) >= least and (key := line_key(x, least)) is not None:
                         keys.append(key)
-                        where.append((k, j))
-            if keys and shards:
-                a, b = _halves(keys)
-                own = np.array([LOWEST if ids[k] is None else ids[k] for k, _ in where], np.int64)
-                shard = (a >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(a), np.int64)
-                for s, table in shards.items():
-                    at = np.flatnonzero(shard == s)
-                    if len(at):
-                        counts, last = table.probe(a[at], b[at])
-                        for x in at[(counts >= copies) & (last != own[at])]:
-                            split[where[x][0]][1].append(where[x][1])
-            return split
-
-        return run
-
-    def sent(block: int):
-        part = built.filter(F.expr(f"pmod(shard, {blocks}) = {block}")).collect()
-        data = spark.sparkContext.broadcast({r.shard: bytes(r.data) for r in part})
-        loaded: dict = {}
-
-        def open_tables() -> dict[int, Table]:
-            if not loaded:
-                loaded.update({s: Table.load(d) for s, d in data.value.items()})
-            return loaded
-
-        return open_tables
-
-    def emit(batch: pa.RecordBatch, split: list[tuple[list[bytes], list[int]]]) -> pa.RecordBatch:
-        texts = []
-        for lines, drop in split:
-            gone = set(drop)
-            texts.append(b"\n".join([x for j, x in enumerate(lines) if j not in gone] if gone else lines).decode("utf-8", "replace"))
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in kept]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x, _ in split], pa.int64()), pa.array([len(set(d)) for _, d in split], pa.int64())], [*kept, "n_lines", "n_dropped"])
-
-    def column(batch: pa.RecordBatch, name: str) -> list:
-        return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-    schema = ", ".join([*(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_lines bigint, n_dropped bigint"])
-    raw = docs.select(*kept).withColumn("text", F.col("text").cast("binary"))
-    if blocks == 1:
-        probe = probing(sent(0))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield emit(batch, probe(column(batch, "doc_id"), column(batch, "text")))
-
-        return raw.mapInArrow(run, schema)
-
-    keyed = raw.withColumn("__h", F.xxhash64("text"))
-    drops = None
-    for block in range(blocks):
-        probe_block = probing(sent(block))
-
-        def find(batches: Iterator[pa.RecordBatch], probe=probe_block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                split = probe(column(batch, "doc_id"), column(batch, "text"))
-                at = [k for k, (_, d) in enumerate(split) if d]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(2).take(pa.array(at, pa.int64())), pa.array([split[k][1] for k in at], pa.list_(pa.int32()))], ["doc_id", "h", "drop"])
-
-        found = materialize(keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "__h").mapInArrow(find, "doc_id bigint, h bigint, drop array<int>"), f"drops-{block}")
-        drops = found if drops is None else drops.unionByName(found)
-    merged = drops.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("drop"))).alias("__drop")).withColumnRenamed("doc_id", "__d")
-    joined = keyed.join(merged, F.expr("doc_id <=> __d and __h = h"), "left").select(*kept, "__drop")
+                        where.append(j)
+                        ids.append(i)
+                        hashes.append(h)
+            a, b = _halves(keys)
+            shard = shard_of(a, bits)
+            h = np.array(hashes, np.int64)
+            salt = np.zeros(len(a), np.int64)
+            for s, k in parts.items():
+                at = shard == s
+                salt[at] = h[at] % k
+            m = len(a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), pa.array(salt.astype(np.int32)), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids, pa.int64()), pa.array(h), pa.array(where, pa.int32())],
+                ["shard", "salt", "kind", "data", "a", "b", "id", "h", "line"],
+            )
+
+    of = F.create_map(*(F.lit(x).cast("bigint") for pair in parts.items() for x in pair))[F.col("shard")] if parts else F.lit(1)
+    null = lambda t, c: F.lit(None).cast(t).alias(c)
+    copied = built.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.coalesce(of, F.lit(1)) - 1).cast("int"))))
+    copied = copied.select("shard", "salt", F.lit(0).alias("kind"), "data", null("bigint", "a"), null("bigint", "b"), null("bigint", "id"), null("bigint", "h"), null("int", "line"))
+    met = docs.select("id", "h", "text").mapInArrow(ask, _PROBE).unionByName(copied).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            kind = batch.column(2).to_numpy()
+            starts = np.flatnonzero(kind == 0)
+            for first, last in zip([0, *starts], [*starts, batch.num_rows]):
+                if first < last and kind[first] == 0:
+                    table = Table.load(batch.column(3)[int(first)].as_py())
+                    first += 1
+                if first >= last:
+                    continue
+                part = batch.slice(int(first), int(last - first))
+                a, b, own = (part.column(k).to_numpy() for k in (4, 5, 6))
+                counts, largest = table.probe(a.view(np.uint64), b.view(np.uint64))
+                gone = pa.array(np.flatnonzero((counts >= copies) & (largest != own)))
+                yield pa.RecordBatch.from_arrays([part.column(k).take(gone) for k in (6, 7, 8)], ["id", "h", "line"])
+
+    found = met.mapInArrow(probe, "id bigint, h bigint, line int")
+    return found.groupBy("id", "h").agg(F.collect_set("line").alias("drop"))
+
+
+def dedup(docs: DataFrame, least: int = LEAST_LENGTH, copies: int = LEAST_DOCS, shard_keys: int = SHARD_KEYS, part_probes: int = PART_PROBES) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with the lines that stay as ``text``, and ``n_lines``, ``n_dropped``.
+
+    Keys of at least ``least`` code points in at least ``copies`` rows lose all lines but those of the rows with the
+    largest doc_id that holds them (a null doc_id is the smallest). Each row is a document: rows that repeat an id count each, and if it is the largest
+    all of them keep the line. Null or empty texts are one empty line. Columns of ``docs`` named
+    ``n_lines`` or ``n_dropped`` are replaced; the others stay as they are. An empty table gives no rows.
+    """
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own_id, own_h, own_drop, lost_id, lost_h = fresh([*kept, "n_lines", "n_dropped"], "row_id", "row_h", "row_drop", "lost_id", "lost_h")
+    keyed = docs.select(*kept).withColumns({own_id: F.expr(f"coalesce(cast(doc_id as bigint), {LOWEST + 1}L - 1L)"), own_h: F.xxhash64("text"), "text": F.col("text").cast("binary")})
+    lost = materialize(repeated(keyed.select(F.col(own_id).alias("id"), F.col(own_h).alias("h"), "text"), least, copies, shard_keys, part_probes), "line-drops")
+    lost = lost.select(F.col("id").alias(lost_id), F.col("h").alias(lost_h), F.col("drop").alias(own_drop))
+    joined = keyed.join(lost, (F.col(own_id) == F.col(lost_id)) & (F.col(own_h) == F.col(lost_h)), "left").select(*kept, own_drop)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield emit(batch, [((t or b"").split(b"\n"), d or []) for t, d in zip(column(batch, "text"), column(batch, "__drop"))])
-
-    return joined.mapInArrow(finish, schema)
+            texts, counts, dropped = [], [], []
+            for t, drop in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index(own_drop)).to_pylist()):
+                t = t or b""
+                counts.append(t.count(b"\n") + 1)
+                dropped.append(len(drop or ()))
+                if drop:
+                    gone = set(drop)
+                    t = b"\n".join([x for j, x in enumerate(t.split(b"\n")) if j not in gone])
+                texts.append(t)
+            columns = [pa.array(texts, pa.binary()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*kept, "n_lines", "n_dropped"])
+
+    schema = ", ".join([*(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_lines bigint, n_dropped bigint"])
+    out = joined.mapInArrow(finish, schema)
+    return out.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in kept), "n_lines", "n_dropped")

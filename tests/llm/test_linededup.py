@@ -36,13 +36,25 @@ def cases():
     return rows + [(70, None), (71, ""), (72, "\n\n"), (None, common[1] + "\nq"), (5, common[1]), (73, (common[2] + "\n") * 3000), (59, rows[59][1])]
 
 
-@pytest.mark.parametrize("block, shard", [(linededup.BLOCK_KEYS, linededup.SHARD_KEYS), (3, 2), (100, 2)])
-def test_against_brute_force(spark, block, shard):
+@pytest.mark.parametrize("probes, shard", [(linededup.PART_PROBES, linededup.SHARD_KEYS), (linededup.PART_PROBES, 2), (1, 2), (5, 100)])
+def test_against_brute_force(spark, monkeypatch, probes, shard):
+    """Small shards, and shards split for nearly every probe, give the same rows; columns named as the helpers are kept."""
+    monkeypatch.setattr(linededup, "HEAVY_SHARE", 0.0)
     rows = cases()
-    frame = spark.createDataFrame([(i, t, "clash", 2, "s") for i, t in rows], "doc_id long, text string, n_lines string, a int, source string")
-    out = linededup.dedup(frame, block_keys=block, shard_keys=shard)
-    assert out.columns == ["doc_id", "text", "a", "source", "n_lines", "n_dropped"]
-    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in out.collect()) == brute(rows)
+    frame = spark.createDataFrame([(i, t, "clash", 2, "s", 7, 8, "9") for i, t in rows], "doc_id long, text string, n_lines string, a int, h string, row_h int, lost_id int, `drop` string")
+    out = linededup.dedup(frame, part_probes=probes, shard_keys=shard)
+    assert out.columns == ["doc_id", "text", "a", "h", "row_h", "lost_id", "drop", "n_lines", "n_dropped"]
+    got = out.collect()
+    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got) == brute(rows)
+    assert {tuple(r)[2:7] for r in got} == {(2, "s", 7, 8, "9")}
+
+
+def test_the_count_array_decides(spark):
+    """Lines under the threshold are in the tables too."""
+    line = "x" * 45
+    frame = spark.createDataFrame([(k, line + ("" if k < 4 else "y")) for k in range(9)], "doc_id long, text string")
+    assert {r.n for r in linededup.line_counts(frame).collect()} == {4, 5}
+    assert {r.doc_id: r.n_dropped for r in linededup.dedup(frame).collect()} == {k: int(3 < k < 8) for k in range(9)}
 
 
 def test_empty_table(spark):

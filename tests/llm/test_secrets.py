@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from sylva.llm import secrets
 
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -52,3 +54,36 @@ def test_repeats_nulls_and_empty_table(spark):
     assert secrets.scan(frame.limit(0)).collect() == []
     plan = secrets.scan(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def every(text):
+    """All spans that are reported, by all pairs."""
+    text, found = text or "", []
+    for number, (name, pattern, _, least, strong, part) in enumerate(secrets.KINDS):
+        for m in re.finditer(pattern, text, re.ASCII):
+            n = len(m[2] if name == "assign" else m[0])
+            if n >= least:
+                found.append((m.start(), strong is None or n < strong, number, m.end(), name, part))
+    out = []
+    for s in found:
+        near = any((o[5] == "secret") != (s[5] == "secret") and o[0] <= s[3] + secrets.SCOPE and s[0] <= o[3] + secrets.SCOPE for o in found)
+        if not s[1] or near:
+            label = s[4] if not s[1] or s[4] in ("ident", "endpoint") else f"weak_{s[4]}"
+            out.append((s[0], s[1], s[2], f"{label}:{s[0]}:{s[3]}"))
+    return ",".join(x[3] for x in sorted(out))
+
+
+@pytest.mark.parametrize("stretch", [1 << 16, 64])
+def test_linking_by_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(secrets, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    parts = ["user=bob", "token=abc12", "https://db.example/" + "p" * 230, "https://h/x", "AKIAABCDEF", "0123456789abcdef", "secret: longenough99", "login: éva", "password=" + "q" * 400, "AKIA" + "Z" * 20]
+    gaps = [1, 5, 60, 150, 198, 199, 200, 201, 202, 260, 700]
+    texts = ["".join(rng.choice(parts) + " " + "é" * (rng.choice(gaps) - 1) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    endpoint = "https://h.example/" + "p" * 230
+    texts += [endpoint + " token=abc12", "token=abc12 " + endpoint, "token=abc12 " + " " * 187 + endpoint]
+    texts += ["token=abc12" + " " * k + "user=bob" for k in (199, 200, 201)] + ["user=bob" + " " * k + "token=abc12" for k in (199, 200, 201)]
+    texts.append("".join(rng.choice(parts) + " " + "x " * rng.choice([1, 90, 400]) for _ in range(4000)))
+    got = scan(spark, texts)
+    for k, t in enumerate(texts):
+        assert got[k].spans == every(t), t[:300]
