@@ -28,7 +28,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.digests(webp.store(table(spark, sf_dir, "documents")))
+    return webp.digests(webp.pixels(webp.store(table(spark, sf_dir, "documents"))))
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -83,23 +83,19 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 SQL_CHAT = f"""
-WITH m AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS text, CAST(floor(turn / {chat.PIECE}) AS BIGINT) AS piece FROM conversations
-), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, piece ORDER BY turn NULLS LAST, name, text) AS k FROM m
-), q AS (
-  SELECT *, CAST((k - 1) // {chat.PIECE} AS BIGINT) AS part FROM n
-), s AS (SELECT DISTINCT conv_id, name AS assistant FROM m WHERE name <> 'system'),
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS text FROM conversations),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, name, md5(text)) AS k FROM m),
+s AS (SELECT DISTINCT conv_id, name AS assistant FROM m WHERE name <> 'system'),
 h AS (
-  SELECT q.*, s.assistant, CASE WHEN name = assistant THEN '<|assistant|>' || chr(10) WHEN name = 'system' THEN '<|system|>' || chr(10) ELSE '<|user:' || name || '|>' || chr(10) END AS head
+  SELECT q.*, s.assistant, (k - 1) // {chat.WHOLE} AS part, CASE WHEN name = assistant THEN '<|assistant|>' || chr(10) WHEN name = 'system' THEN '<|system|>' || chr(10) ELSE '<|user:' || name || '|>' || chr(10) END AS head
   FROM q JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
-  SELECT *, CAST(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, assistant, piece, part ORDER BY k) - length(text) - 1 AS BIGINT) AS p0 FROM h
+  SELECT *, CAST(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, assistant ORDER BY k) - length(text) - 1 AS BIGINT) AS p0 FROM h
 )
-SELECT conv_id, assistant, piece, part, count(*) AS n_messages, count(*) FILTER (WHERE name = assistant) AS n_masked,
+SELECT conv_id, assistant, part, min(p0 - length(head)) AS start, count(*) AS n_messages, count(*) FILTER (WHERE name = assistant) AS n_masked,
        string_agg(head || text || chr(10), '' ORDER BY k) AS rendered,
        coalesce(string_agg(p0 || '-' || (p0 + length(text)), ',' ORDER BY k) FILTER (WHERE name = assistant), '') AS mask
-FROM o GROUP BY conv_id, assistant, piece, part
+FROM o GROUP BY conv_id, assistant, part
 """
 
 WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -120,15 +116,60 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 SQL_LINEDEDUP = f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), l AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM d
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UP}', '{LOW}') AS key FROM l
-), f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {linededup.LEAST_LENGTH} GROUP BY key HAVING count(DISTINCT doc_id) >= {linededup.LEAST_DOCS}),
+), f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {linededup.LEAST_LENGTH} GROUP BY key HAVING count(DISTINCT r) >= {linededup.LEAST_DOCS}),
 g AS (SELECT k.*, f.last IS NOT NULL AND f.last <> doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+FROM g GROUP BY r, doc_id
+"""
+
+
+SQL_MIXING = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text), '{mixing.SEED}')), 1, 16) AS at FROM documents
+), s AS (
+  SELECT *, (rank - 1) % 3 + 1 AS w, {mixing.EPOCHS} * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)
+), f AS (
+  SELECT *, CAST(total - coalesce(sum(cap) OVER o, 0) AS BIGINT) AS lft, CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS BIGINT) AS rest
+  FROM s WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (SELECT lft AS l_left, rest AS l_rest FROM f WHERE cap * rest >= lft * w ORDER BY CAST(cap AS DOUBLE) / w, rank LIMIT 1),
+t AS (SELECT source, source_size, rank, total, CASE WHEN l_rest IS NULL OR cap * l_rest <= l_left * w THEN CAST(cap AS DOUBLE) ELSE CAST(l_left * w AS DOUBLE) / l_rest END AS target FROM f LEFT JOIN l ON true),
+p AS (SELECT d.*, source_size, target, rank, total, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY at, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS played FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT r, size, total, rank, at, doc_id, epoch, (played + epoch * source_size) / target AS time FROM p, (SELECT unnest(range(0, {mixing.EPOCHS})) AS epoch) WHERE size > 0 AND target > 0),
+q AS (SELECT r, sum(size) OVER (ORDER BY time, rank, at, doc_id NULLS FIRST, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= total AS inside FROM c),
+k AS (SELECT r, count(*) AS copies FROM q WHERE inside GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken FROM p LEFT JOIN k USING (r)
+"""
+
+
+def _sql_spans() -> str:
+    """A row a match of each kind: position from the lengths of the gaps and matches before it."""
+    kinds = []
+    for k, (_, pattern, _, *_) in enumerate(secrets.KINDS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(f"SELECT r, {k} AS kind, regexp_extract_all(text, {quoted}, 0) AS w, string_split_regex(text, {quoted}) AS g, regexp_extract_all(text, {quoted}, {2 if pattern is secrets.ASSIGN else 0}) AS v FROM t")
+    return " UNION ALL ".join(kinds)
+
+
+_NAMED = "VALUES " + ", ".join(f"({k}, '{name}', {least}, {'NULL' if strong is None else strong}, '{part}')" for k, (name, _, _, least, strong, part) in enumerate(secrets.KINDS))
+
+SQL_SECRETS = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, kind, i, length(w[i]) AS n, length(v[i]) AS v, sum(length(g[i]) + length(w[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ({_sql_spans()}))),
+kinds(kind, name, least, strong, part) AS ({_NAMED}),
+s AS (SELECT r, m.kind, name, part, CAST(e - n AS BIGINT) AS b, CAST(e AS BIGINT) AS e, coalesce(v >= strong, false) AS strong FROM m JOIN kinds USING (kind) WHERE v >= least),
+l AS (SELECT *, EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND (o.part = 'secret') <> (s.part = 'secret') AND o.b <= s.e + {secrets.SCOPE} AND o.e >= s.b - {secrets.SCOPE}) AS linked FROM s),
+f AS (SELECT *, CASE WHEN strong OR name IN ('ident', 'endpoint') THEN name ELSE 'weak_' || name END || ':' || b || ':' || e AS line FROM l WHERE strong OR linked),
+p AS (SELECT r, count(*) FILTER (WHERE strong AND name = 'assign') AS n_assign, count(*) FILTER (WHERE strong AND name = 'access') AS n_access, count(*) FILTER (WHERE strong AND name = 'hex') AS n_hex,
+  string_agg(line, ',' ORDER BY b, kind) FILTER (WHERE strong) AS base, string_agg(line, ',' ORDER BY b, NOT strong, kind, line) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN p USING (r)
 """
 
 
@@ -144,4 +185,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urlfilter": SQL_URLFILTER, "op5_chat": SQL_CHAT, "op8_decontam": SQL_DECONTAM, "op9_linededup": SQL_LINEDEDUP}
+    return {"op4_urlfilter": SQL_URLFILTER, "op5_chat": SQL_CHAT, "op7_mixing": SQL_MIXING, "op8_decontam": SQL_DECONTAM, "op9_linededup": SQL_LINEDEDUP, "op10_secrets": SQL_SECRETS}

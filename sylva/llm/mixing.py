@@ -2,7 +2,7 @@
 
 Every source plays its documents in a shuffled order, up to ``EPOCHS`` times over.
 The virtual finish time of a copy is the tokens its source has played by then
-over the source's target. All copies are range-sorted by that time and cut at the
+over the source's target. All copies are range-sorted by that time and truncated at the
 total budget. Running sums are taken in two levels, over ranges and within the
 range: neither a source nor the whole ever passes through one task.
 """
@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, running_sums
 
 EPOCHS, SEED = 3, 17
-#: Documents in a range, about, of the shuffled order; ranges of the virtual time.
-RANGE, SLOTS = 20_000, 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -47,46 +45,29 @@ def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs``.
 
-    ``taken`` is the size times the copies that fall within the budget, 0 to ``EPOCHS``. Null texts have
-    size 0 and take nothing. Rows that repeat doc_id, source and size can't be told apart and take turns in any order, which gives the same rows.
+    ``taken`` is the size times the copies that fall within the budget, 0 to ``EPOCHS``: the copies up to the last, by finish time, whose words and those of all
+    before it stay within it. The shuffle is by an MD5 of id and text. Null texts have
+    size 0 and take nothing; rows without an id take part. Rows that repeat doc_id, source and text can't be told apart and take turns in any order, which gives the same rows.
+    Other columns are not read; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    own = materialize(own.withColumn("at", F.expr(f"shiftrightunsigned(xxhash64(doc_id, {SEED}L), 1)")), "mix-sizes")
+    spark = docs.sparkSession
+    shuffled = F.expr(f"substr(md5(concat_ws('|', cast(`{id_col}` as string), md5(`{text_col}`), '{SEED}')), 1, 16)")
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled.alias("at"))
+    own = materialize(own, "mix-sizes")
     sums = materialize(targets(own.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    n, total = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = 1 << max(6, (n // RANGE).bit_length())
-    own = own.withColumn("range", F.expr(f"cast(at div {(1 << 63) // ranges}L as bigint)"))
-    # tokens of the source before each range; a row a source and range
-    before = own.groupBy("source", "range").agg(F.sum("size").alias("s"))
-    before = before.withColumn("base", F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s")).drop("s")
-    base = before.join(sums, before.source.eqNullSafe(sums.source)).select(before.source.alias("k_source"), F.col("range").alias("k_range"), "base", "rank", "source_size", "target")
-    base = materialize(base, "mix-base")
-    within = Window.partitionBy("source", "range").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = own.withColumn("own", F.sum("size").over(within))
-    placed = run.join(base, F.expr("source <=> k_source and `range` = k_range"))
-    placed = materialize(placed.select("doc_id", "size", "source_size", "target", "rank", "at", (F.col("base") + F.col("own")).alias("played")), "mix-placed")
-    copies = placed.filter("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
-    copies = copies.withColumn("time", F.expr("(played + epoch * source_size) / target"))
-    # the budget falls into one slot of virtual time; only that slot is sorted
-    slot = F.least(F.lit(2 * SLOTS), F.floor(F.col("time") * SLOTS)).cast("bigint")
-    copies = copies.withColumn("slot", slot)
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("s")).orderBy("slot").collect()
-    spent, cut = 0, 2 * SLOTS + 1
-    for r in slots:
-        if spent + r.s > total:
-            cut = r.slot
-            break
-        spent += r.s
-    edge = copies.filter(F.col("slot") == cut)
-    budget = total - spent
-    fine = F.xxhash64("doc_id", "epoch")
-    edge = edge.withColumn("fine", F.expr(f"cast(least({SLOTS - 1}L, floor((time * {SLOTS} - slot) * {SLOTS})) as bigint)"))
-    shares = edge.groupBy("fine").agg(F.sum("size").alias("s")).withColumn("base", F.sum("s").over(Window.orderBy("fine")) - F.col("s")).withColumnRenamed("fine", "f")
-    order = Window.partitionBy("fine").orderBy("time", "rank", "at", "doc_id", "epoch", fine).rowsBetween(Window.unboundedPreceding, 0)
-    kept = edge.withColumn("sum", F.sum("size").over(order)).join(shares, F.expr("fine = f")).filter(F.col("sum") + F.col("base") <= budget)
-    # (rank, played) tells documents that have words apart
-    kept = kept.groupBy("rank", "played").agg(F.count("*").alias("more"))
-    # copies before the cutting slot follow from the row itself; those in it are looked up
-    early = " + ".join(f"if(size > 0 and target > 0 and cast(least({2 * SLOTS}L, floor((played + {e} * source_size) / target * {SLOTS})) as bigint) < {cut}, 1, 0)" for e in range(EPOCHS))
-    out = placed.join(kept, ["rank", "played"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.expr(f"cast(size * ({early} + if(size > 0, coalesce(more, 0), 0)) as bigint)").alias("taken"))
+    total = sums.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    played = running_sums(own, ["source"], ["at", "doc_id", "size"], before="size")
+    keyed = sums.withColumnRenamed("source", "of")
+    placed = played.join(keyed, F.expr("source <=> of")).select("doc_id", "size", "source_size", "target", "rank", "at", (F.col("before") + F.col("size")).alias("played"))
+    placed = materialize(placed, "mix-placed")
+    key = lambda epoch: f"struct((played + {epoch} * source_size) / target as time, rank, at, doc_id, {epoch} as epoch)"
+    copies = placed.filter("size > 0 and target > 0").withColumn("k", F.explode(F.expr(f"array({', '.join(map(key, range(EPOCHS)))})"))).select("size", "k.*")
+    queue = running_sums(copies, [], ["time", "rank", "at", "doc_id", "epoch"], spent="size")
+    # the queue is cut at one place: a document's copies up to there are taken
+    end = queue.filter(F.col("spent") + F.col("size") <= total).agg(F.max(F.struct("time", "rank", "at", "doc_id", "epoch")).alias("end"))
+    end = end.select("end.*").withColumnsRenamed({c: f"end_{c}" for c in ("time", "rank", "at", "doc_id", "epoch")})
+    end = spark.createDataFrame(end.collect(), end.schema)  # one row
+    last = "struct(end_time as time, end_rank as rank, end_at as at, end_doc_id as doc_id, end_epoch as epoch)"
+    taken = " + ".join(f"if({key(e)} <= {last}, 1, 0)" for e in range(EPOCHS))
+    out = placed.join(F.broadcast(end))
+    return out.select("doc_id", "size", "source_size", "target", F.expr(f"cast(if(size > 0 and target > 0 and end_time is not null, size * ({taken}), 0) as bigint)").alias("taken"))

@@ -3,12 +3,12 @@
 ``decode`` reads any still VP8L stream: simple and normal prefix codes,
 meta prefix groups, back-references, the colour cache, and the inverse of the
 predictor, cross-colour, subtract-green and palette transforms, in the order
-in which the stream lists them. Where every code of the image has symbols of one
-length only (what ``encode`` writes), a pixel takes a fixed number of bits and all
-pixels are gathered at once; any other image is decoded symbol by symbol.
+in which the stream lists them.
 
 ``encode`` packs bytes as the red, green and blue samples of opaque pixels; a row
-that the payload doesn't fill ends in transparent ones, which carry none of it.
+that the payload doesn't fill ends in transparent ones, which carry none of it. Images of up to 256 colours get a palette, others
+a predictor mode and cross-colour factors for each tile; what is left is written as literals, back-references and cache hits
+in prefix codes made for them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 HASH, SIDE = 0x1E35A7BD, 16384
+#: Rows of an image, about, beyond which it is made wider; bits of the colour cache; longest prefix code written.
+ROWS, CACHE, LONGEST = 128, 8, 11
+#: Predictor modes that ``encode`` chooses from: those that need no pixel of their own row but the left one.
+MODES = (1, 2, 3, 4, 8, 9)
 
 
 class Bits:
@@ -55,86 +60,82 @@ class Bits:
         return v
 
 
+@cache
+def _reversal(width: int) -> np.ndarray:
+    """Each number of ``width`` bits with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
+
+
 class Code:
-    """Canonical prefix code of ``width`` bits at most. ``table`` is indexed by the next ``width`` bits: (symbol, bits it takes)."""
+    """Canonical prefix code of ``width`` bits at most. ``table`` is indexed by the next ``width`` bits: symbol times 16 and the bits it takes."""
 
     def __init__(self, lengths: list[int]) -> None:
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        self.uniform = not used or used[0][0] == used[-1][0]
-        self.symbols = [s for _, s in used] or [0]
+        sizes = np.array(lengths)
+        used = np.flatnonzero(sizes)
         if len(used) <= 1:
-            self.width = 0
+            self.width, self.table = 0, [int(used[0]) << 4 if len(used) else 0]
             return
-        self.width, self.used = used[-1][0], used
-        if sum(1 << (self.width - n) for n, _ in used) != 1 << self.width:
+        used = used[np.argsort(sizes[used], kind="stable")]
+        sizes = sizes[used]
+        self.width = int(sizes[-1])
+        spans = 1 << (self.width - sizes)
+        if spans.sum() != 1 << self.width:
             raise ValueError("a prefix code isn't complete")
+        self.table = np.repeat(used << 4 | sizes, spans)[_reversal(self.width)].tolist()
 
-    @cached_property
-    def table(self) -> list[tuple[int, int]]:
-        if not self.width:
-            return [(self.symbols[0], 0)]
-        table = [(0, 0)] * (1 << self.width)
-        code = last = 0
-        for n, s in self.used:
-            code <<= n - last
-            for at in range(int(f"{code:0{n}b}"[::-1], 2), 1 << self.width, 1 << n):
-                table[at] = (s, n)
-            code, last = code + 1, n
-        return table
-
-    def read(self, bits: Bits) -> int:
-        s, n = self.table[bits.peek() & ((1 << self.width) - 1)]
-        bits.at += n
-        if bits.at > bits.end:
-            raise ValueError("the stream ends early")
-        return s
+    @classmethod
+    def simple(cls, symbols: list[int]) -> Code:
+        """Of one symbol, which takes no bits, or two."""
+        own = cls.__new__(cls)
+        symbols = sorted(set(symbols))
+        own.width = len(symbols) - 1
+        own.table = [x << 4 | own.width for x in symbols]
+        return own
 
 
 def _code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
     if bits.read(1):
         two = bits.read(1)
         found = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
-        for s in found:
-            lengths[s] = 1
-        return Code(lengths)
+        if max(found) >= size:
+            raise ValueError("a symbol is too large")
+        return Code.simple(found)
     own = [0] * 19
     for k in range(4 + bits.read(4)):
         own[LENGTH_ORDER[k]] = bits.read(3)
-    code, left, at, last = Code(own), size, 0, 8
+    code, left = Code(own), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    if code.width == 1 and code.symbols[-1] < 16:  # a bit each
-        n = min(size, left)
-        if bits.at + n > bits.end:
-            raise ValueError("the stream ends early")
-        raw = int.from_bytes(bits.data[bits.at >> 3 : (bits.at + n + 7) >> 3], "little") >> (bits.at & 7)
-        for k in range(n):
-            lengths[k] = code.symbols[raw >> k & 1]
-        bits.at += n
-        return Code(lengths)
-    while at < size and left:
+    lengths: list[int] = []
+    table, mask, last, where, have, acc = code.table, (1 << code.width) - 1, 8, bits.at, 0, 0
+    while len(lengths) < size and left:
         left -= 1
-        s = code.read(bits)
+        if have < 14:
+            have, acc = 100, int.from_bytes(bits.data[where >> 3 : (where >> 3) + 14], "little") >> (where & 7)
+        t = table[acc & mask]
+        n, s = t & 15, t >> 4
+        acc >>= n
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
+            lengths.append(s)
+            last = s or last
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            if at + n > size:
-                raise ValueError("too many code lengths")
-            lengths[at : at + n] = [last if s == 16 else 0] * n
-            at += n
+            least, extra = ((3, 2), (3, 3), (11, 7))[s - 16]
+            lengths += [last if s == 16 else 0] * (least + (acc & ((1 << extra) - 1)))
+            acc >>= extra
+            n += extra
+        have -= n
+        where += n
+    bits.at = where
+    if where > bits.end:
+        raise ValueError("the stream ends early")
+    if len(lengths) > size:
+        raise ValueError("too many code lengths")
     return Code(lengths)
 
 
-def _number(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
-
-
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB words, row by row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -146,131 +147,184 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         across = (width + (1 << tile) - 1) >> tile
         of = (_image(bits, across, (height + (1 << tile) - 1) >> tile, False) >> 8) & 0xFFFF
         groups = int(of.max()) + 1
-    codes = [[_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
+    codes = []
+    for _ in range(groups):
+        own = [_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+        codes.append([x for c in own for x in (c.table, (1 << c.width) - 1)])
     total = width * height
-    if groups == 1 and all(c.uniform for c in codes[0][:4]) and codes[0][0].symbols[-1] < 256:
-        return _gather(bits, codes[0], total)
-    out, cache, at = [0] * total, [0] * (1 << cache_bits), 0
-    cached = 0
-
-    def remember(upto: int) -> None:
-        nonlocal cached
-        if cache_bits:
-            for k in range(cached, upto):
-                cache[(HASH * out[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[k]
-        cached = upto
-
+    out, cache, at, cached = [0] * total, [0] * (1 << cache_bits), 0, 0
+    data, where, shift = bits.data, bits.at, 32 - cache_bits
+    acc, have, limit = 0, 0, bits.end
+    green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[0]
     while at < total:
-        green, red, blue, alpha, far = codes[0] if of is None else codes[of[(at // width >> tile) * across + (at % width >> tile)]]
-        s = green.read(bits)
+        if of is not None:
+            green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[of[(at // width >> tile) * across + (at % width >> tile)]]
+        if have < 60:  # a pixel takes 60 bits at most, a reference as many
+            have, acc = 184, int.from_bytes(data[where >> 3 : (where >> 3) + 24], "little") >> (where & 7)
+        t = green[acc & green_mask]
+        n, s = t & 15, t >> 4
         if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
+            r = red[acc >> n & red_mask]
+            n += r & 15
+            b = blue[acc >> n & blue_mask]
+            n += b & 15
+            t = alpha[acc >> n & alpha_mask]
+            n += t & 15
+            out[at] = t >> 4 << 24 | r >> 4 << 16 | s << 8 | b >> 4
             at += 1
+            acc >>= n
+            have -= n
+            where += n
         elif s < 280:
-            n = _number(bits, s - 256)
-            d = _number(bits, far.read(bits))
+            length, k = _extra(s - 256, acc >> n)
+            n += k
+            t = far[acc >> n & far_mask]
+            n += t & 15
+            d, k = _extra(t >> 4, acc >> n)
+            n += k
             if d > 120:
                 d -= 120
             else:
                 dx, dy = NEAR[d - 1]
                 d = max(1, dx + dy * width)
-            if d > at or at + n > total:
+            if d > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(at, at + n):
-                out[k] = out[k - d]
-            at += n
+            if d >= length:
+                out[at : at + length] = out[at - d : at - d + length]
+            else:
+                out[at : at + length] = (out[at - d : at] * (length // d + 1))[:length]
+            at += length
+            acc >>= n
+            have -= n
+            where += n
         else:
-            remember(at)
+            for v in out[cached:at]:
+                cache[(HASH * v & 0xFFFFFFFF) >> shift] = v
+            cached = at
             out[at] = cache[s - 280]
             at += 1
-        if bits.at > bits.end:
+            acc >>= n
+            have -= n
+            where += n
+        if where > limit:
             raise ValueError("the stream ends early")
+    bits.at = where
     return np.array(out, np.uint32)
 
 
-def _gather(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
-    """Pixels of a fixed number of bits each."""
-    stride = sum(c.width for c in codes[:4])
-    if bits.at + stride * total > bits.end:
-        raise ValueError("the stream ends early")
-    parts = []
-    first = bits.at >> 3
-    raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, -(-(bits.at + stride * total) // 8) - first, first), bitorder="little")
-    raw = raw[bits.at & 7 : (bits.at & 7) + stride * total].reshape(total, stride)
-    bits.at += stride * total
-    at = 0
-    for c in codes[:4]:
-        rank = np.zeros(total, np.uint8 if c.width <= 8 else np.uint16)
-        for k in range(at, at + c.width):
-            rank = rank << 1 | raw[:, k]
-        parts.append(np.array(c.symbols, np.uint32)[rank])
-        at += c.width
-    green, red, blue, alpha = parts
-    return alpha << 24 | red << 16 | green << 8 | blue
+def _extra(prefix: int, acc: int) -> tuple[int, int]:
+    """A length or distance of which ``acc`` holds the further bits, and how many they are."""
+    if prefix < 4:
+        return prefix + 1, 0
+    k = (prefix - 2) >> 1
+    return ((2 + (prefix & 1)) << k) + (acc & ((1 << k) - 1)) + 1, k
 
 
 def _bytes(argb: np.ndarray) -> np.ndarray:
-    """ARGB words as int32 channels: alpha, red, green, blue."""
-    return np.stack([argb >> k & 255 for k in (24, 16, 8, 0)], axis=-1).astype(np.int32)
+    """ARGB words as bytes by channel: alpha, red, green, blue."""
+    return np.ascontiguousarray(argb, ">u4").view(np.uint8).reshape(*argb.shape, 4)
 
 
 def _words(channels: np.ndarray) -> np.ndarray:
-    c = channels.astype(np.uint32) & 255
-    return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
+    return np.ascontiguousarray(channels, np.uint8).view(">u4")[..., 0].astype(np.uint32)
 
 
-def predicted(mode: int, left: np.ndarray, top: np.ndarray, top_left: np.ndarray, top_right: np.ndarray) -> np.ndarray:
-    """Of one pixel, by channel (alpha, red, green, blue)."""
-    mean = lambda a, b: (a + b) >> 1
-    clip = lambda a: np.clip(a, 0, 255)
+def predicted(mode: int, left: list[int], top: list[int], top_left: list[int], top_right: list[int]) -> list[int]:
+    """The guess of a mode for one pixel, by channel (alpha, red, green, blue)."""
+    mean = lambda a, b: [x + y >> 1 for x, y in zip(a, b)]
+    clip = lambda v: 0 if v < 0 else 255 if v > 255 else v
     if mode == 0 or mode > 13:
-        return np.array([255, 0, 0, 0])
+        return [255, 0, 0, 0]
     if mode == 11:
-        guess = left + top - top_left
-        return left if np.abs(guess - left).sum() < np.abs(guess - top).sum() else top
+        to_left = sum(abs(t - c) for t, c in zip(top, top_left))
+        to_top = sum(abs(a - c) for a, c in zip(left, top_left))
+        return left if to_left < to_top else top
     if mode == 12:
-        return clip(left + top - top_left)
+        return [clip(a + t - c) for a, t, c in zip(left, top, top_left)]
     if mode == 13:
-        a = mean(left, top)
-        d = a - top_left
-        return clip(a + np.where(d < 0, -(-d // 2), d // 2))
-    return {
-        1: lambda: left, 2: lambda: top, 3: lambda: top_right, 4: lambda: top_left, 5: lambda: mean(mean(left, top_right), top), 6: lambda: mean(left, top_left), 7: lambda: mean(left, top),
-        8: lambda: mean(top_left, top), 9: lambda: mean(top, top_right), 10: lambda: mean(mean(left, top_left), mean(top, top_right)),
-    }[mode]()
+        return [clip(m + ((m - c) // 2 if m >= c else -((c - m) // 2))) for m, c in zip(mean(left, top), top_left)]
+    if mode < 5:
+        return (left, top, top_right, top_left)[mode - 1]
+    if mode == 5:
+        return mean(mean(left, top_right), top)
+    if mode == 10:
+        return mean(mean(left, top_left), mean(top, top_right))
+    return mean(*{6: (left, top_left), 7: (left, top), 8: (top_left, top), 9: (top, top_right)}[mode])
+
+
+BLACK = np.array([255, 0, 0, 0], np.uint8)
+
+
+def _neighbours(flat: np.ndarray, at: int, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pixels above, above to the left and above to the right of ``n`` pixels from ``at`` on."""
+    return flat[at - width : at - width + n], flat[at - width - 1 : at - width - 1 + n], flat[at - width + 1 : at - width + 1 + n]
+
+
+def _mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint16) + b) >> 1).astype(np.uint8)
+
+
+def _above(mode: int, top: np.ndarray, top_left: np.ndarray, top_right: np.ndarray) -> np.ndarray:
+    """The guess of a mode that looks at the row above only."""
+    if mode == 2:
+        return top
+    if mode == 3:
+        return top_right
+    if mode == 4:
+        return top_left
+    return _mean(top_left, top) if mode == 8 else _mean(top, top_right)
 
 
 def _unpredict(argb: np.ndarray, tile: int, modes: np.ndarray) -> np.ndarray:
-    rest, (height, width) = _bytes(argb), argb.shape
-    out = np.zeros((height * width + 1, 4), np.int32)
-    rest, at = rest.reshape(-1, 4), 0
-    for y in range(height):
-        for x in range(width):
-            if not y:
-                guess = out[at - 1] if x else np.array([255, 0, 0, 0])
-            elif not x:
-                guess = out[at - width]
+    """Row by row: stretches of a mode at once where it looks at the row above or is a running sum, else pixel by pixel."""
+    height, width = argb.shape
+    rest = _bytes(argb).reshape(-1, 4)
+    out = np.zeros((height * width + 1, 4), np.uint8)
+    out[:width] = np.cumsum(rest[:width], axis=0, dtype=np.uint8) + BLACK
+    for y in range(1, height):
+        row = y * width
+        out[row] = rest[row] + out[row - width]
+        x, tiles = 1, 0
+        for mode, same in groupby(modes[y >> tile].tolist()):
+            tiles += len(list(same))
+            end = min(width, tiles << tile)
+            at, n = row + x, end - x
+            if n <= 0:
+                continue
+            x = end
+            if mode == 1:
+                out[at : at + n] = np.cumsum(rest[at : at + n], axis=0, dtype=np.uint8) + out[at - 1]
+            elif mode in MODES:
+                out[at : at + n] = rest[at : at + n] + _above(mode, *_neighbours(out, at, n, width))
+            elif mode == 0 or mode > 13:
+                out[at : at + n] = rest[at : at + n] + BLACK
             else:
-                guess = predicted(int(modes[y >> tile, x >> tile]), out[at - 1], out[at - width], out[at - width - 1], out[at - width + 1])
-            out[at] = (rest[at] + guess) & 255
-            at += 1
+                _one_by_one(mode, rest, out, at, n, width)
     return _words(out[:-1]).reshape(height, width)
 
 
-def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
-    signed = lambda v: (v ^ 128) - 128
-    return signed(t) * signed(c) >> 5
+def _one_by_one(mode: int, rest: np.ndarray, out: np.ndarray, at: int, n: int, width: int) -> None:
+    left = out[at - 1].tolist()
+    found = []
+    for own, top, top_left, top_right in zip(rest[at : at + n].tolist(), *(a.tolist() for a in _neighbours(out, at, n, width))):
+        left = [v + p & 255 for v, p in zip(own, predicted(mode, left, top, top_left, top_right))]
+        found.append(left)
+        # the last pixel's neighbour above to the right is the first of its own row, which stands already
+    out[at : at + n] = found
+
+
+def _delta(factor: np.ndarray, channel: np.ndarray) -> np.ndarray:
+    return factor.astype(np.int32) * channel >> 5
 
 
 def _uncross(argb: np.ndarray, tile: int, factors: np.ndarray) -> np.ndarray:
     height, width = argb.shape
-    c = _bytes(argb)
-    f = _bytes(factors)[np.arange(height)[:, None] >> tile, np.arange(width)[None, :] >> tile]
-    red = c[..., 1] + _delta(f[..., 3], c[..., 2]) & 255
-    blue = c[..., 3] + _delta(f[..., 2], c[..., 2]) + _delta(f[..., 1], red) & 255
-    return _words(np.stack([c[..., 0], red, c[..., 2], blue], axis=-1))
+    c = _bytes(argb).copy()
+    f = _bytes(factors)[np.arange(height)[:, None] >> tile, np.arange(width)[None, :] >> tile].view(np.int8)
+    green = c[..., 2].view(np.int8)
+    c[..., 1] += _delta(f[..., 3], green).astype(np.uint8)
+    c[..., 3] += (_delta(f[..., 2], green) + _delta(f[..., 1], c[..., 1].view(np.int8))).astype(np.uint8)
+    return _words(c)
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -305,7 +359,7 @@ def decode(data: bytes) -> np.ndarray:
             undo.append((2, 0, None, across))
         else:
             n = bits.read(8) + 1
-            palette = _words(np.cumsum(_bytes(_image(bits, n, 1, False)), axis=0) & 255)
+            palette = _words(np.cumsum(_bytes(_image(bits, n, 1, False)), axis=0, dtype=np.uint8))
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((3, pack, palette, across))
             across = (across + (1 << pack) - 1) >> pack
@@ -329,50 +383,296 @@ def decode(data: bytes) -> np.ndarray:
     return argb | np.uint32(0xFF000000) if opaque else argb
 
 
-def _fields(*parts: tuple[int, int]) -> np.ndarray:
-    """Bits of ``(value, bits)`` each, the least significant first."""
-    return np.array([v >> k & 1 for v, n in parts for k in range(n)], np.uint8)
-
-
-def _header(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """A code for ``symbols`` (sorted) of one length: the bits that describe it, code of each byte, length."""
-    n = len(symbols)
-    width = int(n - 1).bit_length()
-    used = np.zeros(size, np.uint8)
-    used[symbols] = 1
-    if n < 1 << width:
-        spare = np.flatnonzero(used[:256] == 0)[: (1 << width) - n]
-        used[spare] = 1
-        symbols = np.flatnonzero(used)
-    rank = np.zeros(256, np.uint8)
-    rank[symbols] = np.arange(len(symbols))
-    if width < 2:
-        return _fields((1, 1), (width, 1), (1, 1), (int(symbols[0]), 8), *([(int(symbols[1]), 8)] if width else [])), rank, width
-    own = {s: int(s == width or (s == 0 and len(symbols) < size)) for s in LENGTH_ORDER}
-    count = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if own[s]))
-    head = _fields((0, 1), (count - 4, 4), *((own[s], 3) for s in LENGTH_ORDER[:count]), (0, 1))
-    return np.concatenate([head, used]) if own[0] else head, rank, width
+class Out:
+    """Bits to write, the least significant first: numbers one by one, or arrays of them."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.acc = self.n = 0
+
+    def put(self, *fields: tuple[int, int]) -> None:
+        for v, n in fields:
+            self.acc |= int(v) << self.n
+            self.n += n
+
+    def flush(self) -> None:
+        if self.n:
+            raw = np.frombuffer(self.acc.to_bytes((self.n + 7) // 8, "little"), np.uint8)
+            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.n])
+            self.acc = self.n = 0
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.flush()
+        ends = np.cumsum(sizes)
+        bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        at = ends - sizes
+        for k in range(int(sizes.max(initial=0))):
+            some = sizes > k
+            at, values, sizes = at[some], values[some], sizes[some]
+            bits[at + k] = values >> k & 1
+        self.parts.append(bits)
+
+    def bytes(self) -> bytes:
+        self.flush()
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+
+
+def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
+    """Lengths of a complete prefix code for two or more ``counts``, each at most ``longest``: the logarithms of the shares, rounded up, and shortened until the code is full."""
+    total = int(counts.sum())
+    counts = np.maximum(counts, -(-total >> longest - 1) or 1)
+    total = int(counts.sum())
+    sizes = np.ceil(np.log2(total / counts)).astype(np.int64)
+    sizes += (counts << sizes) < total
+    spare = (1 << longest) - int((1 << (longest - sizes)).sum())
+    order = np.lexsort((-counts, sizes)).tolist()
+    own = sizes.tolist()
+    while spare:
+        for k in order:
+            unit = 1 << (longest - own[k])
+            if unit <= spare and own[k] > 1:
+                own[k] -= 1
+                spare -= unit
+    return np.array(own)
+
+
+def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Describes a code for the symbols that occur; gives the bits of each symbol and their number."""
+    used = np.flatnonzero(counts)
+    values, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if not len(used) or len(used) <= 2 and used[-1] < 256:
+        first = int(used[0]) if len(used) else 0
+        out.put((1, 1), (len(used) > 1, 1), (1, 1), (first, 8))
+        if len(used) > 1:
+            out.put((int(used[1]), 8))
+            values[used[1]] = 1
+            sizes[used] = 1
+        return values, sizes
+    if len(used) == 1:
+        counts = counts.copy()
+        counts[0] += 1
+        used = np.flatnonzero(counts)
+    sizes[used] = code_lengths(counts[used], LONGEST)
+    order = used[np.argsort(sizes[used], kind="stable")]
+    spans = 1 << (LONGEST - sizes[order])
+    values[order] = _reversal(LONGEST)[np.cumsum(spans) - spans]  # the first of each symbol's codes of full length
+    values &= (1 << sizes) - 1
+    ends = np.append(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1, len(sizes))
+    tokens: list[int] = []
+    extra: list[int] = []
+    extra_bits: list[int] = []
+
+    def token(symbol: int, v: int = 0, n: int = 0) -> None:
+        tokens.append(symbol)
+        extra.append(v)
+        extra_bits.append(n)
+
+    for size, n in zip(sizes[ends - 1].tolist(), np.diff(ends, prepend=0).tolist()):
+        if size:  # the first of them by itself, then repeats of the last length
+            token(size)
+            n -= 1
+        while n > 2:
+            if size:
+                k = min(n, 6)
+                token(16, k - 3, 2)
+            elif n > 10:
+                k = min(n, 138)
+                token(18, k - 11, 7)
+            else:
+                k = n
+                token(17, k - 3, 3)
+            n -= k
+        for _ in range(n):
+            token(size)
+    listed = np.array(tokens)
+    seen = np.bincount(listed, minlength=19)
+    if np.count_nonzero(seen) == 1:
+        seen[0 if not seen[0] else 1] = 1
+    kinds = np.flatnonzero(seen)
+    own = np.zeros(19, np.int64)
+    own[kinds] = code_lengths(seen[kinds], 7)
+    known = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if own[s]))
+    out.put((0, 1), (known - 4, 4), *((own[s], 3) for s in LENGTH_ORDER[:known]), (0, 1))
+    order = kinds[np.argsort(own[kinds], kind="stable")]
+    spans = 1 << (7 - own[order])
+    codes = np.zeros(19, np.int64)
+    codes[order] = _reversal(7)[np.cumsum(spans) - spans] & ((1 << own[order]) - 1)
+    out.extend(np.stack([codes[listed], np.array(extra)], 1).ravel(), np.stack([own[listed], np.array(extra_bits)], 1).ravel())
+    return values, sizes
+
+
+def _prefix(v: int) -> tuple[int, int, int]:
+    """Symbol of a length or distance, its further bits and their number."""
+    if v <= 4:
+        return v - 1, 0, 0
+    v -= 1
+    k = v.bit_length() - 2
+    return 2 * k + 2 + (v >> k & 1), v & ((1 << k) - 1), k
+
+
+def _previous(keys: np.ndarray) -> np.ndarray:
+    """The last place before each that has the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _references(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(place, length, distance)`` of pixels, three or more, that stood somewhere before; taken as they come."""
+    n = len(v)
+    if n < 4:
+        return []
+    wide = v.astype(np.uint64)
+    keys = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
+    before = _previous(keys)
+    at = np.flatnonzero(before >= 0)
+    from_ = before[at]
+    real = (v[at] == v[from_]) & (v[at + 1] == v[from_ + 1]) & (v[at + 2] == v[from_ + 2])
+    out, done = [], 0
+    for i, j in zip(at[real].tolist(), from_[real].tolist()):
+        if i < done:
+            continue
+        length, step = 3, 64
+        while length < 4096:
+            m = min(step, n - i - length, 4096 - length)
+            unlike = v[i + length : i + length + m] != v[j + length : j + length + m]
+            k = int(unlike.argmax()) if m else 0
+            if m and unlike[k]:
+                length += k
+                break
+            length += m
+            if m < step:
+                break
+            step *= 4
+        out.append((i, length, i - j))
+        done = i + length
+    return out
+
+
+@cache
+def _near(width: int) -> dict[int, int]:
+    """Short codes of distances in an image of that width."""
+    out: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR):
+        out.setdefault(max(1, x + y * width), k + 1)
+    return out
+
+
+def _put_image(out: Out, v: np.ndarray, width: int, main: bool) -> None:
+    """An entropy-coded image of ARGB words, in one group of codes."""
+    found = _references(v)
+    literal = np.ones(len(v), bool)
+    for i, n, _ in found:
+        literal[i : i + n] = False
+    slots = (v * np.uint32(HASH)) >> np.uint32(32 - CACHE)
+    hits = np.zeros(len(v), bool)
+    if main:
+        before = _previous(slots)
+        hits = literal & (before >= 0) & (v == v[before])
+    bits = CACHE if hits.any() else 0
+    out.put((bits > 0, 1), *([(bits, 4)] if bits else []), *([(0, 1)] if main else []))
+    literal &= ~hits
+    starts = literal | hits
+    starts[[i for i, _, _ in found]] = True
+    places = np.flatnonzero(starts)
+    number = np.zeros(len(v), np.int64)
+    number[places] = np.arange(len(places))
+    pixels = np.flatnonzero(literal)
+    green, red, blue, alpha = (v[pixels] >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24))
+    lengths, distances = [_prefix(n) for _, n, _ in found], [_prefix(_near(width).get(d, d + 120)) for _, _, d in found]
+    symbols = np.zeros(len(places), np.int64)
+    symbols[number[pixels]] = green
+    symbols[number[hits]] = 280 + slots[hits].astype(np.int64)
+    refs = number[[i for i, _, _ in found]] if found else np.zeros(0, np.int64)
+    symbols[refs] = [256 + s for s, _, _ in lengths]
+    codes = [_put_code(out, np.bincount(symbols, minlength=280 + (1 << bits if bits else 0)))]
+    codes += [_put_code(out, np.bincount(c, minlength=256)) for c in (red, blue, alpha)]
+    codes.append(_put_code(out, np.bincount(np.array([s for s, _, _ in distances], np.int64), minlength=40)))
+    values, sizes = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
+    values[:, 0], sizes[:, 0] = codes[0][0][symbols], codes[0][1][symbols]
+    for k, channel in enumerate((red, blue, alpha), 1):
+        values[number[pixels], k], sizes[number[pixels], k] = codes[k][0][channel], codes[k][1][channel]
+    for r, (_, x, n), (s, y, m) in zip(refs.tolist(), lengths, distances):
+        values[r, 1:], sizes[r, 1:] = (x, codes[4][0][s], y), (n, codes[4][1][s], m)
+    out.extend(values.ravel(), sizes.ravel())
+
+
+def _modes(flat: np.ndarray, width: int, height: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mode of each tile whose residuals are least, and the residuals; ``flat``: channels by pixel."""
+    rest = np.empty_like(flat)
+    rest[0] = flat[0] - BLACK
+    rest[1:width] = flat[1:width] - flat[: width - 1]
+    down, across = height + (1 << tile) - 1 >> tile, width + (1 << tile) - 1 >> tile
+    if height == 1:
+        return np.ones((down, across), np.int64), rest
+    n = len(flat) - width
+    # a pixel before, so that the first of the second row has a neighbour above to the left
+    top, top_left, top_right = _neighbours(np.concatenate([flat[:1], flat]), width + 1, n, width)
+    every = np.stack([flat[width:] - (flat[width - 1 : -1] if m == 1 else _above(m, top, top_left, top_right)) for m in MODES])
+    cost = np.minimum(every, -every).sum(axis=2, dtype=np.int64).reshape(len(MODES), height - 1, width)
+    cost = np.concatenate([np.zeros((len(MODES), 1, width), np.int64), cost], axis=1)
+    cost = np.add.reduceat(np.add.reduceat(cost, np.arange(0, height, 1 << tile), axis=1), np.arange(0, width, 1 << tile), axis=2)
+    best = cost.argmin(axis=0)
+    whose = best[np.arange(1, height)[:, None] >> tile, np.arange(width)[None, :] >> tile].ravel()
+    rest[width:] = every[whose, np.arange(n)]
+    rest[width::width] = flat[width::width] - flat[:-width:width]
+    return np.array(MODES)[best], rest
+
+
+def _crossed(rest: np.ndarray, width: int, height: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of each tile by least squares, and what they leave of red and blue."""
+    signed = rest.view(np.int8).astype(np.int64).reshape(height, width, 4)
+    _, r, g, b = (signed[..., k] for k in range(4))
+    total = lambda x: np.add.reduceat(np.add.reduceat(x, np.arange(0, height, 1 << tile), axis=0), np.arange(0, width, 1 << tile), axis=1)
+    slope = lambda x, y: np.clip(np.rint(32 * total(x * y) / np.maximum(1, total(x * x))), -128, 127).astype(np.int64)
+    spread = lambda f: f[np.arange(height)[:, None] >> tile, np.arange(width)[None, :] >> tile]
+    to_red, to_blue = slope(g, r), slope(g, b)
+    blue = b - (spread(to_blue) * g >> 5)
+    blue = (blue + 128 & 255) - 128
+    red_to_blue = slope(r, blue)
+    out = rest.reshape(height, width, 4).copy()
+    out[..., 1] = r - (spread(to_red) * g >> 5) & 255
+    out[..., 3] = blue - (spread(red_to_blue) * r >> 5) & 255
+    factors = 0xFF000000 | (red_to_blue & 255) << 16 | (to_blue & 255) << 8 | to_red & 255
+    return factors.astype(np.uint32), out.reshape(-1, 4)
 
 
 def encode(payload: bytes) -> bytes:
-    """A lossless WebP file of ``payload`` (a positive multiple of 192 bytes): 64 pixels a row, or more if it needs over 16384 rows."""
-    n = len(payload) // 3
-    width = 64 * -(-n // (64 * SIDE))
+    """A lossless WebP file of ``payload`` (a positive multiple of 192 bytes): 64 pixels a row, or twice as many and so on if it needs over ``ROWS`` rows."""
+    n, width = len(payload) // 3, 64
+    while n > width * ROWS and 2 * width <= SIDE:
+        width *= 2
     height = -(-n // width)
-    rgb = np.frombuffer(payload, np.uint8).reshape(n, 3)
-    spare = width * height - n
-    if spare:
-        rgb = np.concatenate([rgb, np.zeros((spare, 3), np.uint8)])
-    head = [_fields((0x2F, 8), (width - 1, 14), (height - 1, 14), (int(spare > 0), 1), (0, 3), (0, 1), (0, 1), (0, 1))]
-    alpha = np.repeat(np.array([255, 0], np.uint8), [n, spare])
-    fields = []
-    for channel, size in ((rgb[:, 1], 280), (rgb[:, 0], 256), (rgb[:, 2], 256), (alpha, 256)):
-        bits, rank, k = _header(np.flatnonzero(np.bincount(channel, minlength=256)), size)
-        head.append(bits)
-        if k:
-            fields.append(np.unpackbits(rank[channel][:, None], axis=1)[:, 8 - k :])
-    first = np.concatenate([*head, _fields((1, 1), (0, 1), (0, 1), (0, 1))])
-    body = np.packbits(np.concatenate([first, *([np.hstack(fields).ravel()] if fields else [])]), bitorder="little").tobytes()
+    flat = np.zeros((width * height, 4), np.uint8)
+    flat[:n, 0] = 255
+    flat[:n, 1:] = np.frombuffer(payload, np.uint8).reshape(n, 3)
+    argb = _words(flat)
+    out = Out()
+    out.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (width * height > n, 1), (0, 3))
+    colours = np.unique(argb[: 64 * 64])
+    colours = np.unique(argb) if len(colours) <= 256 else colours
+    if len(colours) <= 256:
+        out.put((1, 1), (3, 2), (len(colours) - 1, 8))
+        steps = _bytes(colours)
+        _put_image(out, _words(np.diff(steps, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours), False)
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        index = np.searchsorted(colours, argb).astype(np.uint32).reshape(height, width >> pack, 1 << pack)
+        index = (index << (np.arange(1 << pack, dtype=np.uint32) * np.uint32(8 >> pack))).sum(axis=2, dtype=np.uint32)
+        argb, width = np.uint32(0xFF000000) | index.ravel() << np.uint32(8), width >> pack
+    else:
+        tile = 5 if width <= 64 else 7
+        modes, rest = _modes(flat, width, height, tile)
+        out.put((1, 1), (0, 2), (tile - 2, 3))
+        _put_image(out, np.uint32(0xFF000000) | modes.astype(np.uint32).ravel() << np.uint32(8), modes.shape[1], False)
+        factors, rest = _crossed(rest, width, height, tile)
+        out.put((1, 1), (1, 2), (tile - 2, 3))
+        _put_image(out, factors.ravel(), factors.shape[1], False)
+        argb = _words(rest)
+    out.put((0, 1))
+    _put_image(out, argb, width, True)
+    body = out.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
@@ -390,7 +690,10 @@ def pad(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, media)``: whole texts, padded by ``pad``, as lossless WebP. Null texts count as empty."""
+    """``(doc_id, n_bytes, media)``: whole texts, padded by ``pad``, as lossless WebP.
+
+    Null texts count as empty; repeated rows and rows without an id get a row each, equal texts equal files; an empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,24 +727,28 @@ def pixels(media: DataFrame, media_col: str = "media") -> DataFrame:
     return media.mapInArrow(run, f"{schema}, width int, height int, argb binary, error string")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Of ``store``'s rows, from the bytes read back: sizes, SHA-256 of payload and file, CRC-32 of the last 16 payload bytes, and a feature.
+def digests(images: DataFrame) -> DataFrame:
+    """Of ``pixels``'s rows over ``store``'s, from the pixel arrays: sizes, SHA-256 of payload and file, CRC-32 of the last 16 payload bytes, and a feature.
 
-    The feature: size in pixels, means of red, green and blue to three places, and the number of distinct colours.
+    The feature: size in pixels, means of red, green and blue to three places, and the number of distinct colours. Rows without pixels (null or
+    damaged media) have nulls there; repeated rows get a row each; an empty table gives none; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
             rows = []
-            for i, n, m in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "n_bytes", "media"))):
-                file = m.as_py()
-                image = decode(file)
+            for i, n, m, width, height, words in zip(*batch.columns):
+                if not words.is_valid:
+                    rows.append((i.as_py(), n.as_py(), None, None, None, None, None, None))
+                    continue
+                image, file = np.frombuffer(words.as_buffer(), ">u4").astype(np.uint32), m.as_buffer()
                 payload = samples(image)
-                means = np.frombuffer(payload, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64) / (len(payload) // 3)
-                feature = f"{image.shape[1]}x{image.shape[0]}:" + ",".join(f"{v:.3f}" for v in means) + f":{len(np.unique(image))}"
-                rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature))
+                means = np.frombuffer(payload, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64) / max(1, len(payload) // 3)
+                feature = f"{width}x{height}:" + ",".join(f"{v:.3f}" for v in means) + f":{len(np.unique(image))}"
+                rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), file.size, hashlib.sha256(file).hexdigest(), feature))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return media.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    own = images.select("doc_id", "n_bytes", "media", "width", "height", "argb")
+    return own.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

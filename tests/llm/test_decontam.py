@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
-from sylva.llm import decontam
+from sylva.llm import common, decontam
 
 
 def tokens(t):
@@ -40,22 +41,47 @@ def cases():
     return docs, bench
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 20])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("slots, bits, together", [(decontam.SLOTS, decontam.BITS, common.TOGETHER), (16, 128, 2)])
+def test_against_brute_force(spark, monkeypatch, slots, bits, together):
+    """Tables so small that nearly all positions pass, and buckets that are split, give the same rows."""
+    if slots == 16:
+        monkeypatch.setattr(decontam, "PAGE", 16)
+    monkeypatch.setattr(decontam, "SLOTS", slots)
+    monkeypatch.setattr(decontam, "BITS", bits)
+    monkeypatch.setattr(common, "TOGETHER", together)
     docs, bench = cases()
-    frame = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, hits string, h int")
-    items = spark.createDataFrame(bench, "item_id long, text string")
-    got = decontam.contamination(frame, items, block_words=block).drop("hits").collect()
+    frame = spark.createDataFrame([(*d, "clash", 1, "x") for d in docs], "doc_id long, text string, hits string, key int, bad_key string")
+    items = spark.createDataFrame([(*b, 3) for b in bench], "item_id long, text string, m int")
+    got = decontam.contamination(frame, items).drop("hits").collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, bench)
-    kept = decontam.drop_contaminated(frame, items, block_words=block).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r[0]) for r in brute(docs, bench) if not r[-1])
+    out = decontam.drop_contaminated(frame, items)
+    assert out.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r[0]) for r in brute(docs, bench) if not r[-1])
 
 
 def test_shifts_skip_words():
-    window = tuple(f"w{k}".encode() for k in range(10))
-    search = decontam.Windows(10, {window: {0}})
-    assert list(search.search([b"x"] * 1000)) == [] and search.shift[b"w9"][b"w8"] == 0 and search.shift[b"w1"][b"w0"] == 8
-    assert [at for at, _ in search.search([b"w0", *window, *window])] == [1, 11]
+    window = [f"w{k}".encode() for k in range(10)]
+    own = decontam.Searcher(10, 1 << 16, 1 << 20)
+    own.add(window)
+    slot = lambda k: own.shift[zlib.crc32(b" ".join(window[k - 1 : k + 1])) & 0xFFFF]
+    assert [slot(k) for k in (9, 8, 1)] == [0, 1, 8] and sorted(set(own.shift)) == list(range(10))
+    (own,) = decontam.loaded({10: (bytes(own.shift), bytes(own.bits))})
+    assert list(own.search([b"x"] * 1000)) == []
+    assert list(own.search([b"w0", *window, *window])) == [(1, b" ".join(window)), (11, b" ".join(window))]
+
+
+def test_tables_are_put_together_by_pages(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PAGE", 64)
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefghij") for _ in range(rng.choice([4, 30])))) for k in range(40)]
+    known = decontam.windows(spark.createDataFrame(rows, "item_id long, text string").repartition(5))
+    got = decontam.searchers(known)
+    for m, (shift, bits) in got.items():
+        whole = decontam.Searcher(m, len(shift), 8 * len(bits))
+        for r in known.filter(f"m = {m}").collect():
+            whole.add(bytes(r.win).split(b" "))
+        assert bytes(whole.shift) == shift and bytes(whole.bits) == bits
+    assert sorted(got) == [4, 10]
 
 
 def test_empty_tables(spark):

@@ -1,10 +1,11 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm import mixing
+from sylva.llm import common, mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, target int"
 
@@ -66,6 +67,31 @@ def test_empty_and_wordless_tables(spark):
     assert [(r["size"], r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)] * 2
 
 
+def test_plan_has_no_python(spark, sf):
+    plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "b", None]), k, rng.randrange(9)) for k in range(500)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, k long, range long").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = common.running_sums(frame, ["g"], ["k"], at="range").collect()
+        whole = common.running_sums(frame, [], ["k"], at="range").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    assert sorted((r.k, r["at"]) for r in got) == sorted((k, sum(v for h, j, v in rows if h == g and j < k)) for g, k, _ in rows)
+    assert sorted((r.k, r["at"]) for r in whole) == sorted((k, sum(v for _, j, v in rows if j < k)) for _, k, _ in rows)
+
+
 def test_word_count(spark):
     texts = ["", " ", "a", " a", "a ", "a b c", "\t\x0b a\x0cb\r\n c ", "é" * 10, "x\u0085y z", None]
     got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", mixing.word_count(F.col("t")).alias("n")).collect()
