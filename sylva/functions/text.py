@@ -4,12 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-
-_OPEN, _CLOSE = "([{<", ")]}>"
 
 
 def tidy_column(sig: Column) -> Column:
@@ -59,58 +55,67 @@ def xml_escape(s: str, attribute: bool = False) -> str:
     return s
 
 
-def _split_params(inner: str) -> list[str]:
-    parts, depth, last = [], 0, 0
-    for i, c in enumerate(inner):
-        if c in _OPEN:
-            depth += 1
-        elif c in _CLOSE:
-            depth = max(0, depth - 1)
-        elif c == "," and not depth:
-            parts.append(inner[last:i])
-            last = i + 1
-    return [*parts, inner[last:]]
-
-
-def _only_type(param: str) -> str:
-    depth, i = 0, 0
-    param = param.strip()
-    while i < len(param):
-        c = param[i]
-        if c in _OPEN:
-            depth += 1
-        elif c in _CLOSE:
-            depth = max(0, depth - 1)
-        elif c == ":" and not depth:
-            if param[i + 1 : i + 2] == ":":
-                i += 1
-            else:
-                return param[i + 1 :].strip() or param
-        i += 1
-    return param
+#: What a list of parameters is made of: paths, marks, and all between them.
+_PART = r"::|[()\[\]{}<>,:]|[^()\[\]{}<>,:]+"
 
 
 def strip_params(sig: str) -> str:
-    """Parameter names out of the first balanced parentheses, where ``name: type`` tells them; else as it is."""
-    first = sig.find("(")
-    if first < 0:
-        return sig
-    depth = 0
-    for i in range(first, len(sig)):
-        depth += (sig[i] == "(") - (sig[i] == ")")
-        if not depth:
-            inner = sig[first + 1 : i]
-            return sig if not inner.strip() else f"{sig[: first + 1]}{', '.join(map(_only_type, _split_params(inner)))}{sig[i:]}"
+    """The first balanced parentheses with types only, where ``name: type`` tells them; else as it is.
+
+    One pass over the parts: a comma on the outer level ends a parameter, its first colon there starts the type.
+    """
+    head, opened, rest = sig.partition("(")
+    shown: list[str] = []
+    whole, kind, round_ones, nested = "", None, 1, 0
+    for m in re.finditer(_PART, rest if opened else ""):
+        part = m[0]
+        round_ones += {"(": 1, ")": -1}.get(part, 0)
+        ends = not round_ones
+        if ends or part == "," and not nested:
+            shown.append((kind or "").strip() or whole.strip())
+            whole, kind = "", None
+            if ends:
+                return sig if shown == [""] else f"{head}({', '.join(shown)}{rest[m.start() :]}"
+            continue
+        whole += part
+        if kind is not None:
+            kind += part
+        elif part == ":" and not nested:
+            kind = ""
+        nested = max(0, nested + (part in "([{<") - (part in ")]}>"))
     return sig
 
 
 def strip_params_column(sigs: Column) -> Column:
-    """A state machine over characters; Arrow batches."""
-
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda s: None if s is None else strip_params(s))
-
-    return pandas_udf(run, "string")(sigs)
+    """``strip_params`` as a fold over the parts of a signature, in the engine's own expressions."""
+    text = lambda v: F.lit(v).cast("string")
+    start = F.struct(F.lit(1).alias("round_ones"), F.lit(0).alias("nested"), F.array().cast("array<string>").alias("shown"), text("").alias("whole"), text(None).alias("kind"), text("").alias("after"))
+    blank = r"^\s+|\s+$"
+    trimmed = lambda c: F.regexp_replace(c, blank, "")
+
+    def step(s: Column, part: Column) -> Column:
+        round_ones = s["round_ones"] + F.when(part == "(", 1).when(part == ")", -1).otherwise(0)
+        ended = F.concat(s["shown"], F.array(F.coalesce(F.nullif(trimmed(s["kind"]), F.lit("")), trimmed(s["whole"]))))
+        state = lambda r, n, shown, whole, kind, after: F.struct(r.alias("round_ones"), n.alias("nested"), shown.alias("shown"), whole.alias("whole"), kind.alias("kind"), after.alias("after"))
+        colon = (part == ":") & (s["nested"] == 0)
+        kind = F.when(s["kind"].isNotNull(), F.concat(s["kind"], part)).when(colon, text("")).otherwise(text(None))
+        nested = F.greatest(F.lit(0), s["nested"] + F.when(part.isin(*"([{<"), 1).when(part.isin(*")]}>"), -1).otherwise(0))
+        return (
+            F.when(s["round_ones"] == 0, state(s["round_ones"], s["nested"], s["shown"], s["whole"], s["kind"], F.concat(s["after"], part)))
+            .when(round_ones == 0, state(round_ones, s["nested"], ended, text(""), text(None), part))
+            .when((part == ",") & (s["nested"] == 0), state(round_ones, s["nested"], ended, text(""), text(None), s["after"]))
+            .otherwise(state(round_ones, nested, s["shown"], F.concat(s["whole"], part), kind, s["after"]))
+        )
+
+    opened = F.instr(sigs, "(")
+    rest = F.when(opened > 0, F.substr(sigs, opened + 1)).otherwise("")
+    parts = F.regexp_extract_all(rest, F.lit(_PART), F.lit(0))
+
+    def finish(s: Column) -> Column:
+        plain = (s["round_ones"] != 0) | ((F.size(s["shown"]) == 1) & (s["shown"][0] == ""))
+        return F.when(plain, sigs).otherwise(F.concat(F.substr(sigs, F.lit(1), opened), F.array_join(s["shown"], ", "), s["after"]))
+
+    return F.aggregate(parts, start, step, finish)
 
 
 def word_count(s: Column) -> Column:

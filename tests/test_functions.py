@@ -42,6 +42,29 @@ def test_strip_never_raises(s):
     assert isinstance(text.strip_params(s), str)
 
 
+def test_strip_alike_as_column(spark):
+    import random
+
+    rng = random.Random(2)
+    sigs = ["".join(rng.choice(["(", ")", "<", ">", "[", "]", ",", ":", "::", " ", "a", "T", "->", "f("]) for _ in range(rng.randrange(25))) for _ in range(600)] + ["", "()", "f( )", "f(a: )"]
+    got = spark.createDataFrame([(s,) for s in sigs], "s string").select("s", text.strip_params_column(F.col("s")).alias("t"))
+    assert all(r.t == text.strip_params(r.s) for r in got.collect())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert spark.createDataFrame([(None,)], "s string").select(text.strip_params_column(F.col("s")).alias("t")).first().t is None
+
+
+def test_colours_paint_and_change_no_word():
+    import re
+
+    from sylva.render import color, markdown
+
+    text_in = f"# map: x (3 LOC)\n\n## a/b.py (#1 — imported by 2 file(s))\ndef f(x)\n    pub fn g(int)\nimports: c.py\n… (2 more symbol(s))\n\n---\n{markdown.INDEX_NOTE}\na/b.py: f, g@3\n\n[2 low-rank file(s) collapsed: x/* (2)]\n"
+    out = color.colorize(text_in)
+    assert re.sub("\x1b\\[[0-9;]*m", "", out) == text_in
+    assert "\x1b[35mdef\x1b[0m f(x)" in out and "\x1b[35mpub fn\x1b[0m g(int)" in out and "\x1b[1;34ma/b.py\x1b[0m" in out
+    assert {"fn", "trait", "def", "class", "func", "pub"} <= set(color.WORDS)
+
+
 def test_paths(spark):
     rows = {"a/./b": "a/b", "a//b/..": "a", "..": None, "a/../..": None, "./x": "x", "": "", "a/b/../../c": "c"}
     got = spark.createDataFrame([(k,) for k in rows], "p string").select("p", link.normalize(F.col("p")).alias("n"), link.strip_extension(F.col("p")).alias("s")).collect()
