@@ -5,9 +5,9 @@ meta prefix groups, back-references, the colour cache, and the inverse of the
 predictor, cross-colour, subtract-green and palette transforms, in the order
 in which the stream lists them.
 
-``encode`` packs bytes as the red, green and blue samples of opaque pixels; a row
-that the payload doesn't fill ends in transparent ones, which carry none of it. Images of up to 256 colours get a palette, others
-a predictor mode and cross-colour factors for each tile; what is left is written as literals, back-references and cache hits
+``encode`` writes bytes as opaque grey pixels, a sample each; a row
+that the payload doesn't fill ends in transparent ones, which carry none of it. Images of up to ``FEW`` colours get a palette, others
+a predictor mode for each tile and the cross-colour factors that take green out of red and blue; what is left is written as literals, back-references and cache hits
 in prefix codes made for them.
 """
 
@@ -17,7 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -37,10 +37,13 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 HASH, SIDE = 0x1E35A7BD, 16384
-#: Rows of an image, about, beyond which it is made wider; bits of the colour cache; longest prefix code written.
-ROWS, CACHE, LONGEST = 128, 8, 11
-#: Predictor modes that ``encode`` chooses from: those that need no pixel of their own row but the left one.
-MODES = (1, 2, 3, 4, 8, 9)
+#: Bits of a stream that are looked at together.
+STRETCH = 1 << 16
+#: Pixels of a row; colours that a palette is made for; bits of the colour cache; longest prefix code; bits of a tile's side; shortest repeat that is a reference.
+ROW, FEW, CACHE, LONGEST, TILE, REPEAT = 192, 16, 1, 11, 9, 8
+#: Predictor modes that need no pixel of their own row but the left one, and those that ``encode`` chooses from. The left neighbour, which keeps
+#: repeats alike, is left for another guess only if that saves such a share of the bits.
+ROW_MODES, MODES, GAIN = (1, 2, 3, 4, 8, 9), (1, 2, 4), 0.03
 
 
 class Bits:
@@ -152,6 +155,11 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         own = [_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
         codes.append([x for c in own for x in (c.table, (1 << c.width) - 1)])
     total = width * height
+    if groups == 1 and total > 64 and not codes[0][3] | codes[0][5] | codes[0][7]:  # red, blue and alpha take no bits
+        rest = codes[0][6][0] >> 4 << 24 | codes[0][2][0] >> 4 << 16 | codes[0][4][0] >> 4
+        found = _greens(bits, codes[0], rest, cache_bits, width, total)
+        if found is not None:
+            return np.uint32(rest) | found.astype(np.uint32) << np.uint32(8)
     out, cache, at, cached = [0] * total, [0] * (1 << cache_bits), 0, 0
     data, where, shift = bits.data, bits.at, 32 - cache_bits
     acc, have, limit = 0, 0, bits.end
@@ -209,9 +217,101 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if where > limit:
             raise ValueError("the stream ends early")
     bits.at = where
+    if where > limit:
+        raise ValueError("the stream ends early")
     return np.array(out, np.uint32)
 
 
+def _greens(bits: Bits, codes: list, rest: int, cache_bits: int, width: int, total: int) -> np.ndarray | None:
+    """The green values of an image whose other channels stay the same; None if a cache entry is read that no pixel has set.
+
+    What stands at a place of the stream is looked up for all places of a stretch at once, whether a symbol starts there or not; then the symbols are
+    followed from one to the next, and the literals among them are put down together, references and cache hits in turn.
+    """
+    green, mask, far, far_mask = np.array(codes[0], np.uint16), codes[1], codes[8], codes[9]
+    sizes = (green & np.uint16(15)).astype(np.uint8)
+    symbols_of = green >> np.uint16(4)
+    sizes[(symbols_of > 255) & (symbols_of < 280)] = 0  # a reference: how far it goes is read on the way
+    data = bits.data + bytes(STRETCH // 8 + 16)
+    raw = np.frombuffer(data, np.uint8)
+    slots = [((rest | g << 8) * HASH & 0xFFFFFFFF) >> (32 - cache_bits) for g in range(256)] if cache_bits else []
+    out, done, start = np.zeros(total, np.uint8), 0, bits.at
+    view = memoryview(out)
+    while done < total:
+        if start > bits.end:
+            raise ValueError("the stream ends early")
+        first, p = start >> 3, start & 7
+        n = min(STRETCH, bits.end - 8 * first + 8)
+        part = raw[first : first + (n + 7 >> 3) + 2].astype(np.uint32)
+        near = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
+        own = (near[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32(mask)).ravel()
+        follow = sizes[own].tobytes()
+        path: list[int] = []
+        refs: list[tuple[int, int, int]] = []
+        append, room = path.append, total - done
+        if not mask and symbols_of[0] < 256:  # one literal that takes no bits
+            path, p = [p] * room, p
+        else:
+            for _ in range(room):
+                append(p)
+                d = follow[p]
+                if not d:
+                    s = int(symbols_of[own[p]])
+                    if s > 279:
+                        raise ValueError("a code of cache entries only")
+                    d = int(green[own[p]]) & 15
+                    at = 8 * first + p + d
+                    window = int.from_bytes(data[at >> 3 : (at >> 3) + 12], "little") >> (at & 7)
+                    m, k = _extra(s - 256, window)
+                    t = far[window >> k & far_mask]
+                    k += t & 15
+                    away, more = _extra(t >> 4, window >> k)
+                    if away > 120:
+                        away -= 120
+                    else:
+                        x, y = NEAR[away - 1]
+                        away = max(1, x + y * width)
+                    refs.append((len(path) - 1, m, away))
+                    d += k + more
+                p += d
+                if p >= n:
+                    break
+        taken = np.array(path)
+        lengths = np.ones(len(taken), np.int64)
+        for i, m, _ in refs:
+            lengths[i] = m
+        ends = done + np.cumsum(lengths)
+        kept = min(len(taken), int(np.searchsorted(ends, total)) + 1)
+        if ends[kept - 1] > total:
+            raise ValueError("a back-reference leaves the image")
+        if kept < len(taken):
+            p = path[kept]
+        start = 8 * first + p
+        symbols, begins = symbols_of[own[taken[:kept]]], ends[:kept] - lengths[:kept]
+        plain = symbols < 256
+        out[begins[plain]] = symbols[plain]
+        away = {i: d for i, _, d in refs}
+        for k in np.flatnonzero(~plain).tolist():
+            i, s = int(begins[k]), int(symbols[k])
+            if s > 279:
+                j = i - 1
+                while j >= 0 and slots[view[j]] != s - 280:
+                    j -= 1
+                if j < 0:
+                    return None
+                view[i] = view[j]
+                continue
+            d, m = away[k], int(lengths[k])
+            if d > i:
+                raise ValueError("a back-reference leaves the image")
+            view[i : i + m] = view[i - d : i - d + m] if d >= m else (bytes(view[i - d : i]) * (m // d + 1))[:m]
+        done = int(ends[kept - 1])
+    if start > bits.end:
+        raise ValueError("the stream ends early")
+    bits.at = start
+    return out
+
+
 def _extra(prefix: int, acc: int) -> tuple[int, int]:
     """A length or distance of which ``acc`` holds the further bits, and how many they are."""
     if prefix < 4:
@@ -281,11 +381,23 @@ def _unpredict(argb: np.ndarray, tile: int, modes: np.ndarray) -> np.ndarray:
     rest = _bytes(argb).reshape(-1, 4)
     out = np.zeros((height * width + 1, 4), np.uint8)
     out[:width] = np.cumsum(rest[:width], axis=0, dtype=np.uint8) + BLACK
-    for y in range(1, height):
+    left_only = (modes == 1).all(axis=1)
+    y = 1
+    while y < height:
         row = y * width
+        if left_only[y >> tile]:  # as many rows as go on so, by running sums down the first column and along the rows
+            end = y
+            while end < height and left_only[end >> tile]:
+                end = min(height, ((end >> tile) + 1) << tile)
+            part = rest[row : end * width].reshape(end - y, width, 4).copy()
+            part[:, 0] = np.cumsum(part[:, 0], axis=0, dtype=np.uint8) + out[row - width]
+            out[row : end * width] = np.cumsum(part, axis=1, dtype=np.uint8).reshape(-1, 4)
+            y = end
+            continue
+        y += 1
         out[row] = rest[row] + out[row - width]
         x, tiles = 1, 0
-        for mode, same in groupby(modes[y >> tile].tolist()):
+        for mode, same in groupby(modes[y - 1 >> tile].tolist()):
             tiles += len(list(same))
             end = min(width, tiles << tile)
             at, n = row + x, end - x
@@ -294,7 +406,7 @@ def _unpredict(argb: np.ndarray, tile: int, modes: np.ndarray) -> np.ndarray:
             x = end
             if mode == 1:
                 out[at : at + n] = np.cumsum(rest[at : at + n], axis=0, dtype=np.uint8) + out[at - 1]
-            elif mode in MODES:
+            elif mode in ROW_MODES:
                 out[at : at + n] = rest[at : at + n] + _above(mode, *_neighbours(out, at, n, width))
             elif mode == 0 or mode > 13:
                 out[at : at + n] = rest[at : at + n] + BLACK
@@ -314,16 +426,20 @@ def _one_by_one(mode: int, rest: np.ndarray, out: np.ndarray, at: int, n: int, w
 
 
 def _delta(factor: np.ndarray, channel: np.ndarray) -> np.ndarray:
-    return factor.astype(np.int32) * channel >> 5
+    return (factor.astype(np.int16) * channel >> 5).astype(np.uint8)
 
 
 def _uncross(argb: np.ndarray, tile: int, factors: np.ndarray) -> np.ndarray:
     height, width = argb.shape
     c = _bytes(argb).copy()
-    f = _bytes(factors)[np.arange(height)[:, None] >> tile, np.arange(width)[None, :] >> tile].view(np.int8)
+    f = _bytes(factors).view(np.int8)
+    if (factors == factors[0, 0]).all():
+        f = f[0, 0]
+    else:
+        f = f[np.arange(height)[:, None] >> tile, np.arange(width)[None, :] >> tile]
     green = c[..., 2].view(np.int8)
-    c[..., 1] += _delta(f[..., 3], green).astype(np.uint8)
-    c[..., 3] += (_delta(f[..., 2], green) + _delta(f[..., 1], c[..., 1].view(np.int8))).astype(np.uint8)
+    c[..., 1] += _delta(f[..., 3], green)
+    c[..., 3] += _delta(f[..., 2], green) + _delta(f[..., 1], c[..., 1].view(np.int8))
     return _words(c)
 
 
@@ -384,37 +500,43 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Out:
-    """Bits to write, the least significant first: numbers one by one, or arrays of them."""
+    """Fields to write, the least significant bit first: one by one, or arrays of values and their bits."""
 
     def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.acc = self.n = 0
+        self.values: list[int] = []
+        self.sizes: list[int] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(self, *fields: tuple[int, int]) -> None:
         for v, n in fields:
-            self.acc |= int(v) << self.n
-            self.n += n
+            self.values.append(int(v))
+            self.sizes.append(int(n))
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.flush()
+        self.parts.append((values, sizes))
 
     def flush(self) -> None:
-        if self.n:
-            raw = np.frombuffer(self.acc.to_bytes((self.n + 7) // 8, "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.n])
-            self.acc = self.n = 0
+        if self.values:
+            self.parts.append((np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
 
-    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+    def fields(self) -> tuple[np.ndarray, np.ndarray]:
         self.flush()
-        ends = np.cumsum(sizes)
-        bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-        at = ends - sizes
-        for k in range(int(sizes.max(initial=0))):
-            some = sizes > k
-            at, values, sizes = at[some], values[some], sizes[some]
-            bits[at + k] = values >> k & 1
-        self.parts.append(bits)
+        return np.concatenate([v for v, _ in self.parts]), np.concatenate([n for _, n in self.parts])
 
     def bytes(self) -> bytes:
-        self.flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        """Each field is added to the bytes that it touches; their bits don't overlap."""
+        values, sizes = self.fields()
+        some = sizes > 0
+        values, sizes = values[some], sizes[some]
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        values, first = values << (at & 7), at >> 3
+        out = np.zeros(int(ends[-1] + 7 >> 3) + 8)
+        for k in range((int(sizes.max()) + 14) >> 3):
+            out += np.bincount(first + k, weights=values >> 8 * k & 255, minlength=len(out))
+        return out[: int(ends[-1] + 7 >> 3)].astype(np.uint8).tobytes()
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -436,6 +558,10 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
     return np.array(own)
 
 
+#: Bits that repeats of code lengths carry, by symbol.
+_CARRIED = np.array([0] * 16 + [2, 3, 7])
+
+
 def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Describes a code for the symbols that occur; gives the bits of each symbol and their number."""
     used = np.flatnonzero(counts)
@@ -458,33 +584,19 @@ def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values[order] = _reversal(LONGEST)[np.cumsum(spans) - spans]  # the first of each symbol's codes of full length
     values &= (1 << sizes) - 1
     ends = np.append(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1, len(sizes))
-    tokens: list[int] = []
-    extra: list[int] = []
-    extra_bits: list[int] = []
-
-    def token(symbol: int, v: int = 0, n: int = 0) -> None:
-        tokens.append(symbol)
-        extra.append(v)
-        extra_bits.append(n)
-
+    tokens: list[int] = []  # symbol, and what it carries times 32
     for size, n in zip(sizes[ends - 1].tolist(), np.diff(ends, prepend=0).tolist()):
         if size:  # the first of them by itself, then repeats of the last length
-            token(size)
+            tokens.append(size)
             n -= 1
         while n > 2:
-            if size:
-                k = min(n, 6)
-                token(16, k - 3, 2)
-            elif n > 10:
-                k = min(n, 138)
-                token(18, k - 11, 7)
-            else:
-                k = n
-                token(17, k - 3, 3)
+            k = min(n, 6 if size else 138)
+            tokens.append(16 | k - 3 << 5 if size else 18 | k - 11 << 5 if k > 10 else 17 | k - 3 << 5)
             n -= k
-        for _ in range(n):
-            token(size)
+        if n:
+            tokens += [size] * n
     listed = np.array(tokens)
+    extra, listed = listed >> 5, listed & 31
     seen = np.bincount(listed, minlength=19)
     if np.count_nonzero(seen) == 1:
         seen[0 if not seen[0] else 1] = 1
@@ -497,191 +609,225 @@ def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     spans = 1 << (7 - own[order])
     codes = np.zeros(19, np.int64)
     codes[order] = _reversal(7)[np.cumsum(spans) - spans] & ((1 << own[order]) - 1)
-    out.extend(np.stack([codes[listed], np.array(extra)], 1).ravel(), np.stack([own[listed], np.array(extra_bits)], 1).ravel())
+    out.extend(np.stack([codes[listed], extra], 1).ravel(), np.stack([own[listed], _CARRIED[listed]], 1).ravel())
     return values, sizes
 
 
-def _prefix(v: int) -> tuple[int, int, int]:
-    """Symbol of a length or distance, its further bits and their number."""
-    if v <= 4:
-        return v - 1, 0, 0
-    v -= 1
-    k = v.bit_length() - 2
-    return 2 * k + 2 + (v >> k & 1), v & ((1 << k) - 1), k
-
-
-def _previous(keys: np.ndarray) -> np.ndarray:
-    """The last place before each that has the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
+def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of lengths or distances, their further bits and the number of those."""
+    less = v - 1
+    k = np.maximum(np.frexp(less)[1] - 2, 0)  # bits after the first two
+    return np.where(v <= 4, less, 2 * k + 2 + (less >> k & 1)), np.where(v <= 4, 0, less & ((1 << k) - 1)), np.where(v <= 4, 0, k)
+
+
+def _references(data: bytes) -> np.ndarray:
+    """Rows of place, length and distance: ``REPEAT`` or more bytes that stood somewhere before; taken as they come."""
+    n = len(data)
+    if n <= REPEAT:
+        return np.zeros((0, 3), np.int64)
+    v = np.frombuffer(data, np.uint8).astype(np.uint64)
+    keys = v[: n - REPEAT + 1].copy()
+    for k in range(1, REPEAT):
+        keys |= v[k : n - REPEAT + 1 + k] << np.uint64(8 * k)
+    short = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(short, kind="stable")  # the last place before each of the same hash, where the bytes are the same too
     same = keys[order[1:]] == keys[order[:-1]]
-    out = np.full(len(keys), -1, np.int64)
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _references(v: np.ndarray) -> list[tuple[int, int, int]]:
-    """``(place, length, distance)`` of pixels, three or more, that stood somewhere before; taken as they come."""
-    n = len(v)
-    if n < 4:
-        return []
-    wide = v.astype(np.uint64)
-    keys = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
-    before = _previous(keys)
-    at = np.flatnonzero(before >= 0)
-    from_ = before[at]
-    real = (v[at] == v[from_]) & (v[at + 1] == v[from_ + 1]) & (v[at + 2] == v[from_ + 2])
+    at = order[1:][same]
+    sort = np.argsort(at)
     out, done = [], 0
-    for i, j in zip(at[real].tolist(), from_[real].tolist()):
+    for i, j in zip(at[sort].tolist(), order[:-1][same][sort].tolist()):
         if i < done:
             continue
-        length, step = 3, 64
-        while length < 4096:
-            m = min(step, n - i - length, 4096 - length)
-            unlike = v[i + length : i + length + m] != v[j + length : j + length + m]
-            k = int(unlike.argmax()) if m else 0
-            if m and unlike[k]:
-                length += k
-                break
-            length += m
-            if m < step:
-                break
-            step *= 4
-        out.append((i, length, i - j))
+        length = step = REPEAT
+        while length + step <= 4096 and i + length + step <= n and data[i + length : i + length + step] == data[j + length : j + length + step]:
+            length += step
+            step = min(2 * step, 1024)
+        while step := step // 2:
+            if length + step <= 4096 and i + length + step <= n and data[i + length : i + length + step] == data[j + length : j + length + step]:
+                length += step
         done = i + length
-    return out
+        out.append((i, length, i - j))
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 @cache
-def _near(width: int) -> dict[int, int]:
-    """Short codes of distances in an image of that width."""
-    out: dict[int, int] = {}
-    for k, (x, y) in enumerate(NEAR):
-        out.setdefault(max(1, x + y * width), k + 1)
+def _near(width: int) -> np.ndarray:
+    """Codes of distances in an image of that width, as far as the short ones reach."""
+    out = np.arange(8 * width + 9) + 120
+    for k in range(len(NEAR) - 1, -1, -1):
+        x, y = NEAR[k]
+        out[max(1, x + y * width)] = k + 1
     return out
 
 
-def _put_image(out: Out, v: np.ndarray, width: int, main: bool) -> None:
-    """An entropy-coded image of ARGB words, in one group of codes."""
-    found = _references(v)
-    literal = np.ones(len(v), bool)
-    for i, n, _ in found:
-        literal[i : i + n] = False
-    slots = (v * np.uint32(HASH)) >> np.uint32(32 - CACHE)
-    hits = np.zeros(len(v), bool)
-    if main:
-        before = _previous(slots)
-        hits = literal & (before >= 0) & (v == v[before])
-    bits = CACHE if hits.any() else 0
-    out.put((bits > 0, 1), *([(bits, 4)] if bits else []), *([(0, 1)] if main else []))
-    literal &= ~hits
-    starts = literal | hits
-    starts[[i for i, _, _ in found]] = True
-    places = np.flatnonzero(starts)
-    number = np.zeros(len(v), np.int64)
-    number[places] = np.arange(len(places))
-    pixels = np.flatnonzero(literal)
-    green, red, blue, alpha = (v[pixels] >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24))
-    lengths, distances = [_prefix(n) for _, n, _ in found], [_prefix(_near(width).get(d, d + 120)) for _, _, d in found]
-    symbols = np.zeros(len(places), np.int64)
-    symbols[number[pixels]] = green
-    symbols[number[hits]] = 280 + slots[hits].astype(np.int64)
-    refs = number[[i for i, _, _ in found]] if found else np.zeros(0, np.int64)
-    symbols[refs] = [256 + s for s, _, _ in lengths]
-    codes = [_put_code(out, np.bincount(symbols, minlength=280 + (1 << bits if bits else 0)))]
-    codes += [_put_code(out, np.bincount(c, minlength=256)) for c in (red, blue, alpha)]
-    codes.append(_put_code(out, np.bincount(np.array([s for s, _, _ in distances], np.int64), minlength=40)))
+@cache
+def _slots(alpha: int) -> np.ndarray:
+    """Cache slot of each green value beside that alpha and no red and blue."""
+    return ((np.arange(256, dtype=np.uint32) << np.uint32(8) | np.uint32(alpha << 24)) * np.uint32(HASH) >> np.uint32(32 - CACHE)).astype(np.uint8)
+
+
+@lru_cache(4096)
+def _literals(words: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A small image of ARGB words, pixel by pixel, as fields."""
+    out, v = Out(), np.array(words, np.uint32)
+    out.put((0, 1))
+    channels = [v >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24)]
+    codes = [_put_code(out, np.bincount(c, minlength=n)) for c, n in zip(channels, (280, 256, 256, 256))]
+    _put_code(out, np.zeros(40, np.int64))
+    out.extend(np.stack([c[x] for (c, _), x in zip(codes, channels)], 1).ravel(), np.stack([n[x] for (_, n), x in zip(codes, channels)], 1).ravel())
+    return out.fields()
+
+
+def _put_literals(out: Out, v: np.ndarray) -> None:
+    out.extend(*_literals(tuple(v.tolist())))
+
+
+def _put_green(out: Out, green: np.ndarray, alpha: int, width: int, odd: dict[int, int]) -> None:
+    """The main image: pixels of ``green``, no red and blue, and ``alpha``, but for the places in ``odd``."""
+    found = _references(b"" if odd else green.tobytes())
+    first, ends = found[:, 0], found[:, 0] + found[:, 1]
+    edges = np.zeros(len(green) + 1, np.int64)
+    edges[first] += 1
+    edges[ends] -= 1
+    literal = np.cumsum(edges[:-1]) == 0
+    slots = _slots(alpha)[green]
+    before, places = np.full(len(green), -1), np.arange(len(green))
+    for k in range(1 << CACHE):
+        own = slots == k
+        last = np.maximum.accumulate(np.where(own, places, -1))
+        before[1:][own[1:]] = last[:-1][own[1:]]
+    hits = literal & (before >= 0) & (green == green[before])
+    bits = CACHE if hits.any() and not odd else 0
+    if not bits:
+        hits[:] = False
+    out.put((bits > 0, 1), *([(bits, 4)] if bits else []), (0, 1))
+    symbols = green.astype(np.int64)
+    symbols[hits] = 280 + slots[hits].astype(np.int64)
+    length_symbols, more, more_bits = _prefixes(found[:, 1])
+    near = _near(width)
+    codes = found[:, 2] + 120
+    close = found[:, 2] < len(near)
+    codes[close] = near[found[close, 2]]
+    far_symbols, beyond, beyond_bits = _prefixes(codes)
+    literal[first] = True
+    symbols[first] = 256 + length_symbols
+    places = np.flatnonzero(literal)
+    symbols = symbols[places]
+    number = np.searchsorted(places, first)
+    code = _put_code(out, np.bincount(symbols, minlength=280 + (1 << bits if bits else 0)))
+    out.put(*2 * [(1, 1), (0, 1), (1, 1), (0, 8)])  # red and blue are 0
+    alphas = np.full(len(places), alpha)
+    for i, v in odd.items():
+        alphas[i] = v
+    see = _put_code(out, np.bincount(alphas[symbols < 256], minlength=256))
+    far = _put_code(out, np.bincount(far_symbols, minlength=40))
     values, sizes = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
-    values[:, 0], sizes[:, 0] = codes[0][0][symbols], codes[0][1][symbols]
-    for k, channel in enumerate((red, blue, alpha), 1):
-        values[number[pixels], k], sizes[number[pixels], k] = codes[k][0][channel], codes[k][1][channel]
-    for r, (_, x, n), (s, y, m) in zip(refs.tolist(), lengths, distances):
-        values[r, 1:], sizes[r, 1:] = (x, codes[4][0][s], y), (n, codes[4][1][s], m)
+    values[:, 0], sizes[:, 0] = code[0][symbols], code[1][symbols]
+    if odd:
+        values[:, 3], sizes[:, 3] = see[0][alphas], see[1][alphas]
+    values[number, 1], sizes[number, 1] = more, more_bits
+    values[number, 2], sizes[number, 2] = far[0][far_symbols], far[1][far_symbols]
+    if len(found):
+        values[number, 3], sizes[number, 3] = beyond, beyond_bits
     out.extend(values.ravel(), sizes.ravel())
 
 
-def _modes(flat: np.ndarray, width: int, height: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """The mode of each tile whose residuals are least, and the residuals; ``flat``: channels by pixel."""
-    rest = np.empty_like(flat)
-    rest[0] = flat[0] - BLACK
-    rest[1:width] = flat[1:width] - flat[: width - 1]
-    down, across = height + (1 << tile) - 1 >> tile, width + (1 << tile) - 1 >> tile
-    if height == 1:
-        return np.ones((down, across), np.int64), rest
-    n = len(flat) - width
-    # a pixel before, so that the first of the second row has a neighbour above to the left
-    top, top_left, top_right = _neighbours(np.concatenate([flat[:1], flat]), width + 1, n, width)
-    every = np.stack([flat[width:] - (flat[width - 1 : -1] if m == 1 else _above(m, top, top_left, top_right)) for m in MODES])
-    cost = np.minimum(every, -every).sum(axis=2, dtype=np.int64).reshape(len(MODES), height - 1, width)
-    cost = np.concatenate([np.zeros((len(MODES), 1, width), np.int64), cost], axis=1)
-    cost = np.add.reduceat(np.add.reduceat(cost, np.arange(0, height, 1 << tile), axis=1), np.arange(0, width, 1 << tile), axis=2)
-    best = cost.argmin(axis=0)
-    whose = best[np.arange(1, height)[:, None] >> tile, np.arange(width)[None, :] >> tile].ravel()
-    rest[width:] = every[whose, np.arange(n)]
-    rest[width::width] = flat[width::width] - flat[:-width:width]
-    return np.array(MODES)[best], rest
-
-
-def _crossed(rest: np.ndarray, width: int, height: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """Factors of each tile by least squares, and what they leave of red and blue."""
-    signed = rest.view(np.int8).astype(np.int64).reshape(height, width, 4)
-    _, r, g, b = (signed[..., k] for k in range(4))
-    total = lambda x: np.add.reduceat(np.add.reduceat(x, np.arange(0, height, 1 << tile), axis=0), np.arange(0, width, 1 << tile), axis=1)
-    slope = lambda x, y: np.clip(np.rint(32 * total(x * y) / np.maximum(1, total(x * x))), -128, 127).astype(np.int64)
-    spread = lambda f: f[np.arange(height)[:, None] >> tile, np.arange(width)[None, :] >> tile]
-    to_red, to_blue = slope(g, r), slope(g, b)
-    blue = b - (spread(to_blue) * g >> 5)
-    blue = (blue + 128 & 255) - 128
-    red_to_blue = slope(r, blue)
-    out = rest.reshape(height, width, 4).copy()
-    out[..., 1] = r - (spread(to_red) * g >> 5) & 255
-    out[..., 3] = blue - (spread(red_to_blue) * r >> 5) & 255
-    factors = 0xFF000000 | (red_to_blue & 255) << 16 | (to_blue & 255) << 8 | to_red & 255
-    return factors.astype(np.uint32), out.reshape(-1, 4)
+def _bits_of(rest: np.ndarray) -> float:
+    counts = np.bincount(rest, minlength=256)
+    counts = counts[counts > 0]
+    return float(len(rest) * np.log2(len(rest)) - (counts * np.log2(counts)).sum())
+
+
+def _predict(v: np.ndarray, width: int, first: int) -> tuple[list[int], np.ndarray]:
+    """A mode for each tile (the image is one tile wide), and what the guesses leave of ``v``; ``first``: the guess of the first pixel."""
+    rest = np.empty_like(v)
+    rest[0] = v[0] - np.uint8(first)
+    rest[1:width] = v[1:width] - v[: width - 1]
+    modes, side = [], width << TILE
+    for start in range(0, len(v), side):
+        end = min(len(v), start + side)
+        low = max(start, width)
+        if low >= end:
+            modes.append(1)
+            continue
+        top, top_left = v[low - width : end - width], v[low - width - 1 : end - width - 1] if low > width else np.concatenate([v[:1], v[: end - width - 1]])
+        top_right = v[low - width + 1 : end - width + 1]
+        own = v[low:end]
+        left = own - v[low - 1 : end - 1]
+        best, mode, least = left, 1, _bits_of(left) * (1 - GAIN)
+        for m in MODES[1:]:
+            other = own - _above(m, top, top_left, top_right)
+            if (bits := _bits_of(other)) < least:
+                best, mode, least = other, m, bits
+        modes.append(mode)
+        rest[low:end] = best
+    rest[width::width] = v[width::width] - v[:-width:width]
+    return modes, rest
 
 
 def encode(payload: bytes) -> bytes:
-    """A lossless WebP file of ``payload`` (a positive multiple of 192 bytes): 64 pixels a row, or twice as many and so on if it needs over ``ROWS`` rows."""
-    n, width = len(payload) // 3, 64
-    while n > width * ROWS and 2 * width <= SIDE:
+    """A lossless WebP file of ``payload`` (not empty): ``ROW`` pixels a row, or twice as many and so on if there would be over ``SIDE`` rows."""
+    n, width = len(payload), ROW
+    while n > width * SIDE and 2 * width <= SIDE:
         width *= 2
     height = -(-n // width)
-    flat = np.zeros((width * height, 4), np.uint8)
-    flat[:n, 0] = 255
-    flat[:n, 1:] = np.frombuffer(payload, np.uint8).reshape(n, 3)
-    argb = _words(flat)
+    spare = width * height - n
+    v = np.frombuffer(payload + bytes(spare), np.uint8)
     out = Out()
-    out.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (width * height > n, 1), (0, 3))
-    colours = np.unique(argb[: 64 * 64])
-    colours = np.unique(argb) if len(colours) <= 256 else colours
-    if len(colours) <= 256:
+    out.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (spare > 0, 1), (0, 3))
+    colours = np.flatnonzero(np.bincount(v, minlength=256)) if not spare else np.arange(256)
+    if len(colours) <= FEW:
         out.put((1, 1), (3, 2), (len(colours) - 1, 8))
-        steps = _bytes(colours)
-        _put_image(out, _words(np.diff(steps, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours), False)
-        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        index = np.searchsorted(colours, argb).astype(np.uint32).reshape(height, width >> pack, 1 << pack)
-        index = (index << (np.arange(1 << pack, dtype=np.uint32) * np.uint32(8 >> pack))).sum(axis=2, dtype=np.uint32)
-        argb, width = np.uint32(0xFF000000) | index.ravel() << np.uint32(8), width >> pack
+        steps = np.diff(colours, prepend=0).astype(np.uint32)
+        words = steps * np.uint32(0x010101)
+        words[0] |= np.uint32(0xFF000000)
+        _put_literals(out, words)
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        index = np.searchsorted(colours, v).astype(np.uint8).reshape(height, width >> pack, 1 << pack)
+        index = (index << (np.arange(1 << pack, dtype=np.uint8) * np.uint8(8 >> pack))).sum(axis=2, dtype=np.uint8)
+        out.put((0, 1))
+        _put_green(out, index.ravel(), 255, width >> pack, {})
     else:
-        tile = 5 if width <= 64 else 7
-        modes, rest = _modes(flat, width, height, tile)
-        out.put((1, 1), (0, 2), (tile - 2, 3))
-        _put_image(out, np.uint32(0xFF000000) | modes.astype(np.uint32).ravel() << np.uint32(8), modes.shape[1], False)
-        factors, rest = _crossed(rest, width, height, tile)
-        out.put((1, 1), (1, 2), (tile - 2, 3))
-        _put_image(out, factors.ravel(), factors.shape[1], False)
-        argb = _words(rest)
-    out.put((0, 1))
-    _put_image(out, argb, width, True)
+        # a row is at most ``SIDE`` pixels wide, so several tiles; all of a row of tiles share a mode
+        modes, rest = _predict(v, width, 0)
+        across = width + (1 << TILE) - 1 >> TILE
+        out.put((1, 1), (0, 2), (TILE - 2, 3))
+        _put_literals(out, np.repeat(np.array(modes, np.uint32) << np.uint32(8), across))
+        out.put((1, 1), (1, 2), (TILE - 2, 3))
+        _put_literals(out, np.full(len(modes) * across, 32 << 8 | 32, np.uint32))  # 32: all of green
+        out.put((0, 1))
+        odd = {}
+        if spare:
+            shown = np.full(len(v), 255, np.uint8)
+            shown[n:] = 0
+            faint = _guessed(shown, modes, width)
+            odd = {int(i): int(faint[i]) for i in np.flatnonzero(faint)}
+        _put_green(out, rest, 0, width, odd)
     body = out.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
+def _guessed(v: np.ndarray, modes: list[int], width: int) -> np.ndarray:
+    """What the modes that were chosen leave of another channel, whose first guess is 255."""
+    rest = v - np.concatenate([[np.uint8(255)], v[:-1]])
+    if len(v) > width:
+        top, top_left = v[:-width], np.concatenate([v[:1], v[: -width - 1]])
+        top_right = v[1 : len(v) - width + 1]
+        for k, m in enumerate(modes):
+            low, end = max(width, k * width << TILE), min(len(v), (k + 1) * width << TILE)
+            if m != 1 and low < end:
+                at = slice(low - width, end - width)
+                rest[low:end] = v[low:end] - _above(m, top[at], top_left[at], top_right[at])
+        rest[width::width] = v[width::width] - v[:-width:width]
+    return rest
+
+
 def samples(argb: np.ndarray) -> bytes:
-    """Red, green and blue of the opaque pixels: what ``encode`` was given."""
+    """Green of the opaque pixels: what ``encode`` was given."""
     flat = argb.ravel()
     kept = flat if (flat >= 0xFF000000).all() else flat[flat >= 0xFF000000]
-    return np.stack([kept >> 16 & 255, kept >> 8 & 255, kept & 255], axis=1).astype(np.uint8).tobytes()
+    return (kept >> np.uint32(8)).astype(np.uint8).tobytes()
 
 
 def pad(text: bytes) -> bytes:
@@ -730,7 +876,7 @@ def pixels(media: DataFrame, media_col: str = "media") -> DataFrame:
 def digests(images: DataFrame) -> DataFrame:
     """Of ``pixels``'s rows over ``store``'s, from the pixel arrays: sizes, SHA-256 of payload and file, CRC-32 of the last 16 payload bytes, and a feature.
 
-    The feature: size in pixels, means of red, green and blue to three places, and the number of distinct colours. Rows without pixels (null or
+    The feature: size in pixels, mean sample to three places, and the number of distinct samples. Rows without pixels (null or
     damaged media) have nulls there; repeated rows get a row each; an empty table gives none; other columns are not read.
     """
 
@@ -744,8 +890,8 @@ def digests(images: DataFrame) -> DataFrame:
                     continue
                 image, file = np.frombuffer(words.as_buffer(), ">u4").astype(np.uint32), m.as_buffer()
                 payload = samples(image)
-                means = np.frombuffer(payload, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64) / max(1, len(payload) // 3)
-                feature = f"{width}x{height}:" + ",".join(f"{v:.3f}" for v in means) + f":{len(np.unique(image))}"
+                counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+                feature = f"{width}x{height}:{int(counts @ np.arange(256)) / max(1, len(payload)):.3f}:{np.count_nonzero(counts)}"
                 rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), file.size, hashlib.sha256(file).hexdigest(), feature))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)

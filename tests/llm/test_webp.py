@@ -6,6 +6,7 @@ import pytest
 
 from sylva.llm import webp
 
+from .webp_reader import read
 from .webp_writer import write
 
 
@@ -66,26 +67,80 @@ def test_payload_round_trip(size, alphabet):
     assert webp.samples(webp.decode(webp.encode(payload))) == payload
 
 
-def test_rows_beyond_the_format_widen_the_image(monkeypatch):
-    monkeypatch.setattr(webp, "SIDE", 4)
-    payload = webp.pad(bytes(range(256)) * 9)
-    image = webp.decode(webp.encode(payload))
-    assert image.shape[0] <= 4 and webp.samples(image) == payload
+@pytest.mark.parametrize("row, side", [(4, 32), (5, 40), (7, 14), (192, 16384)])
+def test_rows_beyond_the_format_widen_the_image(monkeypatch, row, side):
+    monkeypatch.setattr(webp, "ROW", row)
+    monkeypatch.setattr(webp, "SIDE", side)
+    for payload in (webp.pad(b"The quick brown fox, 0123456789 times."), webp.pad(b"ab")):
+        file = webp.encode(payload)
+        image = webp.decode(file)
+        assert image.shape[1] % row == 0 and webp.samples(image) == payload
+        assert read(file) == image.tolist()
+
+
+def texts():
+    rng = np.random.default_rng(9)
+    prose = " ".join(rng.choice(["the", "onerous", "Lion", "hath,", "é", "12", "x.\n"], 700))
+    noise = rng.integers(0, 256, 3000).astype(np.uint8).tobytes()
+    rows = bytes(range(192)) * 9 + bytes(rng.integers(0, 3, 192).astype(np.uint8))
+    ramp = bytes(i * 7 + j & 255 for i in range(30) for j in range(192))
+    return {"prose": prose.encode(), "noise": noise, "rows": rows, "ramp": ramp, "two": b"ab" * 300, "one": b"", "few": b"0123456789abcdef" * 40, "again": prose.encode() * 3, "hash": hashlib.sha256(noise).hexdigest().encode() * 9}
+
+
+@pytest.mark.parametrize("stretch", [64, webp.STRETCH])
+def test_streams_against_a_plain_reader(monkeypatch, stretch):
+    monkeypatch.setattr(webp, "STRETCH", stretch)
+    every = set()
+    for name, text in texts().items():
+        payload, seen = webp.pad(text), set()
+        file = webp.encode(payload)
+        image = webp.decode(file)
+        assert read(file, seen) == image.tolist(), name
+        assert webp.samples(image) == payload and image.size == len(payload)
+        every |= seen
+        if name in ("prose", "again", "ramp", "rows"):
+            assert {"predictor", "cross", "lengths"} <= seen, name
+    assert {"predictor", "cross", "palette", "lengths", "reference", "cache", "mode 1", "mode 2"} <= every
+
+
+@pytest.mark.parametrize("features", [{"matches": True, "cache_bits": 6}, {"predict": lambda k: k % 14, "cross": lambda k: 0xFF102030 + k, "green": True, "matches": True}])
+def test_other_streams_against_a_plain_reader(features):
+    for image in (picture(13, 21), picture(12, 19, 40)):
+        file = write(image, **features)
+        file = file[:12] + file[24:]  # the plain reader knows no other chunks
+        assert read(file) == webp.decode(file).tolist() == image.tolist()
+
+
+def test_code_lengths_fill_the_code():
+    rng = np.random.default_rng(4)
+    for longest, most in ((7, 19), (webp.LONGEST, 536)):
+        for _ in range(400):
+            counts = rng.integers(1, rng.choice([2, 9, 100_000]), rng.integers(2, most))
+            counts[0] = 10 ** rng.integers(0, 7)
+            sizes = webp.code_lengths(counts, longest)
+            assert (1 << longest - sizes).sum() == 1 << longest and 1 <= sizes.min() and sizes.max() <= longest
 
 
 def test_query_columns(spark):
-    texts = [None, "", "a", "é" * 500, "x" * 200_000, "same", "same"]
-    rows = [(i, t, "clash", 5) for i, t in enumerate(texts)] + [(None, "null id", "", 1)]
+    own = [None, "", "a", "é" * 500, "x" * 200_000, "same", "same", "The prose, that is coded. " * 40]
+    rows = [(i, t, "clash", 5) for i, t in enumerate(own)] + [(None, "null id", "", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, media string, width int")
-    got = {r.doc_id: r for r in webp.digests(webp.store(frame)).collect()}
+    got = {r.doc_id: r for r in webp.digests(webp.pixels(webp.store(frame))).collect()}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
         raw = (t or "").encode()
         payload = webp.pad(raw)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert got[i].media_sha256 == hashlib.sha256(webp.encode(payload)).hexdigest()
+        file = webp.encode(payload)
+        assert (got[i].media_sha256, got[i].media_bytes) == (hashlib.sha256(file).hexdigest(), len(file))
     assert tuple(got[5])[1:] == tuple(got[6])[1:]
-    assert webp.digests(webp.store(frame.limit(0))).collect() == []
+    assert webp.digests(webp.pixels(webp.store(frame.limit(0)))).collect() == []
+
+
+def test_digests_without_media(spark):
+    frame = spark.createDataFrame([(1, 5, None, "x"), (2, 6, bytearray(b"no"), "y")], "doc_id long, n_bytes long, media binary, error string")
+    got = webp.digests(webp.pixels(frame)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 5, *[None] * 6), (2, 6, *[None] * 6)]
 
 
 def test_pixel_arrays(spark):
