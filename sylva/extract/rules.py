@@ -1,4 +1,4 @@
-"""Declarations and imports of each language, as patterns over one masked line.
+"""Declarations and imports of each language, as patterns over the rest of a masked line from where a declaration may start.
 
 A rule is (pattern, kind, where): the group ``n`` is the name. ``where`` lists the scopes in which
 the rule holds: ``top`` (file or namespace), ``type`` (class, interface, trait body), ``impl``.
@@ -85,7 +85,7 @@ RULES = {
         (r"^\s*typedef\b[^(]*?\b(?P<n>ID)\s*;", "type", ("top", "class")),
         (rf"^{_C_NOT}\s*(?:template\s*<[^{{}}]*>\s*)?(?P<full>{_C_TYPE}(?:{_C_NAMED})[*&\s]*(?:ID::)*(?P<n>~?ID)\s*\()", "function", ("top",)),
         (rf"^{_C_NOT}{_C_FUNC[1:]}", "method", ("class",)),
-        (rf"^{_C_NOT}\s*{_C_TYPE}{_C_NAMED}[*&\s]*(?P<n>ID)\s*(?:\[[^\]]*\]\s*)*(?:\{{[^}}]*\}}\s*)?(?:=[^;]*)?;", "field", ("class",)),
+        (rf"^{_C_NOT}\s*{_C_TYPE}{_C_NAMED}[*&\s]*(?P<n>ID)\s*(?:\[[^\]]*\]\s*)*(?::\s*\d+\s*)?(?:\{{[^}}]*\}}\s*)?(?:=(?!=)|;|,)", "field", ("class",)),
     ),
 }
 

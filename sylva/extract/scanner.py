@@ -1,7 +1,8 @@
 """Declarations, imports and call names of one file, without a grammar.
 
 The scanner masks strings and comments, follows braces (or indentation)
-to know what a line is inside of, and applies the language's rules to the lines. Python that parses is
+to know what a place is inside of, and applies the language's rules wherever a declaration may start: at a line's first character,
+behind a brace, a semicolon, an access label, or a comma between fields. Python that parses is
 read by the ``ast`` module. Damaged input never raises: what can't be told is left out.
 """
 
@@ -179,78 +180,138 @@ def _scope(lang: str, kind: str, line: str) -> str:
     return _SCOPES.get(kind, "body")
 
 
-def _braces(text: str, lang: str):
-    clean = mask(text, lang)
-    if lang in ("c", "cpp"):
-        clean = re.sub(r"^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), clean, flags=re.M)
-    found, refs, hidden_lines = [], set(), set()
-    # scopes: [what, depth of brackets, access]; "hidden" is a test module
-    scopes: list[list] = [["top", 0, ""]]
-    pending, test_next, depth, parens = None, False, 0, 0
-    for k, line in enumerate(clean.split("\n"), 1):
-        what, hidden = scopes[-1][0], any(s[0] == "hidden" for s in scopes)
-        stripped = line.strip()
+#: Scopes in which a comma ends a declaration.
+_COMMA = {"rust": {"struct"}, "typescript": {"interface"}}
+_LABEL = re.compile(r"(public|private|protected)\s*:(?!:)")
+_ID = re.compile(r"[\s*&]*([A-Za-z_$][\w$]*)")
+_TYPE_ONLY = re.compile(r"[\w\s*&:<>,]+")
+
+
+def _also(lang: str, rest: str, end: int) -> list[str]:
+    """Further names of one field declaration, whose first ends at ``end``."""
+    if lang == "go":
+        m = re.match(r"\s*\w+((?:\s*,\s*\w+)+)\s", rest)
+        return re.findall(r"\w+", m[1]) if m else []
+    if lang not in ("c", "cpp", "java"):
+        return []
+    names, depth = [], 0
+    for i in range(end, len(rest)):
+        c = rest[i]
+        depth += (c in "([{<") - (c in ")]}>")
+        if c == ";" and depth <= 0:
+            break
+        if c == "," and depth <= 0 and (m := _ID.match(rest, i + 1)):
+            names.append(m[1])
+    return names
+
+
+class _Scan:
+    """State of one file: scopes are [what, depth of braces, access]; what "hidden" is a test module."""
+
+    def __init__(self, lang: str) -> None:
+        self.lang, self.found, self.refs, self.hidden_lines = lang, [], set(), set()
+        self.scopes: list[list] = [["top", 0, ""]]
+        self.pending, self.test_next, self.depth, self.parens, self.lead = None, False, 0, 0, ""
+
+    def hidden(self) -> bool:
+        return any(s[0] == "hidden" for s in self.scopes)
+
+    def declare(self, number: int, rest: str, names: set[str]) -> None:
+        """The first rule that fits what starts here."""
+        lang, scope, stripped = self.lang, self.scopes[-1], rest.strip()
+        what = scope[0]
+        aliases = {"class": {"class", "type"}, "interface": {"interface", "type"}}.get(what, {what})
+        lead, self.lead = self.lead, ""
+        for pattern, kind, where in RULES[lang]:
+            if not aliases & set(where) or not (m := pattern.match(lead + rest)):
+                continue
+            name = m["n"]
+            if name in NOT_NAMES or name == "new" and lang in NEW or kind == "field" and name in ("return", "case", "default", "public", "private", "protected"):
+                continue
+            if lang == "cpp" and kind == "field" and "(" in re.split("[=;,]", rest)[0]:
+                continue
+            test = lang == "rust" and kind == "module" and (self.test_next or name == "tests")
+            if kind == "module" and lang == "rust" and stripped.endswith(";"):
+                test = test and self.test_next
+            if not self.hidden() and not test:
+                private = lang == "cpp" and what == "class" and kind in ("method", "field") and scope[2] in ("private", "protected")
+                own = [name, *(_also(lang, lead + rest, m.end("n")) if kind == "field" else [])]
+                self.found += [(number, x, kind, private) for x in own]
+                names.update(own)
+            self.pending = ("hidden" if test else _scope(lang, kind, rest), "public" if re.match(r"\s*(?:template\s*<.*>\s*)?(?:struct|union)\b", rest) else "private")
+            return
+        if lang == "rust" and re.match(r"(?:unsafe\s+)?impl\b", rest):
+            self.pending = ("impl", "")
+        elif lang == "go" and (m := re.match(r"(type|const|var)\s*\($", stripped)):
+            self.scopes.append([f"{m[1]}list", -1, ""])
+        elif lang == "go" and what.endswith("list") and stripped == ")":
+            self.scopes.pop()
+        elif lang == "cpp" and re.match(r"(?:extern\s+\"\s*\"|(?:inline\s+)?namespace)\s*\{?", rest):
+            self.pending = ("top", "")
+        elif lang in ("c", "cpp") and what == "top" and _TYPE_ONLY.fullmatch(stripped):
+            self.lead = f"{lead}{stripped} "  # a type whose name stands on the next line
+
+    def line(self, number: int, line: str) -> None:
+        lang, stripped, names = self.lang, line.strip(), set()
         if lang == "rust" and re.match(r"#\[cfg\(\s*test\s*\)\]", stripped):
-            test_next = True
-        if lang == "cpp" and what == "class" and (m := re.match(r"\s*(public|private|protected)\s*:", line)):
-            scopes[-1][2] = m[1]
-            line = line[: m.start(1)] + " " * (m.end() - m.start(1)) + line[m.end() :]
-            stripped = line.strip()
-        names: set[str] = set()
-        if stripped and parens == 0:
-            aliases = {"class": {"class", "type"}, "interface": {"interface", "type"}}.get(what, {what})
-            for pattern, kind, where in RULES[lang]:
-                if not aliases & set(where) or not (m := pattern.match(line)):
-                    continue
-                name = m["n"]
-                if name in NOT_NAMES or name == "new" and lang in NEW or kind == "field" and name in ("return", "case", "default", "public", "private", "protected"):
+            self.test_next = True
+        hidden, fresh, i = self.hidden(), True, 0
+        while i < len(line):
+            c = line[i]
+            if fresh and self.parens == 0 and not c.isspace():
+                if lang == "cpp" and self.scopes[-1][0] == "class" and (m := _LABEL.match(line, i)):
+                    self.scopes[-1][2] = m[1]
+                    i = m.end()
                     continue
-                if lang == "cpp" and kind == "field" and "(" in line.split("=")[0]:
-                    continue
-                test = lang == "rust" and kind == "module" and (test_next or name == "tests")
-                if kind == "module" and lang == "rust" and stripped.endswith(";"):
-                    test = test and test_next
-                if not hidden and not test:
-                    found.append((k, name, kind, lang == "cpp" and what == "class" and kind in ("method", "field") and scopes[-1][2] in ("private", "protected")))
-                    names.add(name)
-                pending = ("hidden" if test else _scope(lang, kind, line), "public" if re.match(r"\s*(?:template\s*<.*>\s*)?(?:struct|union)\b", line) else "private")
-                break
-            else:
-                if lang == "rust" and re.match(r"\s*(?:unsafe\s+)?impl\b", line):
-                    pending = ("impl", "")
-                elif lang == "go" and (m := re.match(r"^(type|const|var)\s*\($", stripped)):
-                    scopes.append([f"{m[1]}list", -1, ""])
-                elif lang == "go" and scopes[-1][0].endswith("list") and stripped == ")":
-                    scopes.pop()
-                elif lang == "cpp" and re.match(r"\s*(?:extern\s+\"\s*\"|(?:inline\s+)?namespace)\s*\{?", line):
-                    pending = ("top", "")
-        if hidden or (pending and pending[0] == "hidden"):
-            hidden_lines.add(k)
+                fresh = False
+                self.declare(number, line[i:], names)
+                hidden = hidden or bool(self.pending) and self.pending[0] == "hidden"
+            fresh = self.mark(c) or fresh
+            i += 1
+        if lang == "go" and self.scopes[-1][0].endswith("list"):
+            self.parens = 0
+        if hidden:
+            self.hidden_lines.add(number)
         else:
             attribute = lang == "rust" and stripped.startswith("#")
-            refs |= {n for n in _calls(line) if n not in names and not attribute and not (n == "new" and lang in NEW)}
+            self.refs |= {n for n in _calls(line) if n not in names and not attribute and not (n == "new" and lang in NEW)}
         if stripped and not stripped.startswith(("#", "@")) and not (lang == "rust" and stripped.startswith("//")):
-            test_next = test_next and not re.search(r"\w", stripped)
-        for c in line:
-            if c == "{":
-                depth += 1
-                scopes.append([pending[0] if pending else "body", depth, pending[1] if pending else ""])
-                pending = None
-            elif c == "}":
-                while len(scopes) > 1 and scopes[-1][1] == -1:
-                    scopes.pop()
-                if len(scopes) > 1 and scopes[-1][1] == depth:
-                    scopes.pop()
-                depth = max(0, depth - 1)
-                parens = 0 if len(scopes) == 1 else parens
-            elif c == "(":
-                parens += 1
-            elif c == ")":
-                parens = max(0, parens - 1)
-            elif c == ";" and parens == 0:
-                pending = None
-        if lang == "go" and scopes[-1][0].endswith("list"):
-            parens = 0
+            self.test_next = self.test_next and not re.search(r"\w", stripped)
+
+    def mark(self, c: str) -> bool:
+        """Follows brackets; whether a declaration may start behind this character."""
+        scopes = self.scopes
+        if c == "{":
+            self.depth += 1
+            what, access = self.pending or ("body", "")
+            scopes.append([what, self.depth, access])
+            self.pending = None
+        elif c == "}":
+            while len(scopes) > 1 and scopes[-1][1] == -1:
+                scopes.pop()
+            if len(scopes) > 1 and scopes[-1][1] == self.depth:
+                scopes.pop()
+            self.depth = max(0, self.depth - 1)
+            self.parens = 0 if len(scopes) == 1 else self.parens
+        elif c == "(":
+            self.parens += 1
+        elif c == ")":
+            self.parens = max(0, self.parens - 1)
+        elif c == ";" and self.parens == 0:
+            self.pending = None
+        elif not (c == "," and scopes[-1][0] in _COMMA.get(self.lang, ())):
+            return False
+        return c in "{};,"
+
+
+def _braces(text: str, lang: str):
+    clean = mask(text, lang)
+    if lang in ("c", "cpp"):
+        clean = re.sub(r"^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), clean, flags=re.M)
+    scan = _Scan(lang)
+    for k, line in enumerate(clean.split("\n"), 1):
+        scan.line(k, line)
+    found, refs, hidden_lines = scan.found, scan.refs, scan.hidden_lines
     starts = [0]
     for m in re.finditer("\n", text):
         starts.append(m.end())

@@ -36,7 +36,7 @@ SAMPLES = {
     ),
     "cpp": (
         '#include "x.hpp"\nnamespace n {\nclass W : public B {\n  int id;\npublic:\n  W();\n  ~W();\n  virtual int size() const { return count(id); }\nprotected:\n  void mine(int);\n};\nstruct Q { int a; };\nenum class M { A };\nusing Id = int;\ntypedef int Old;\n}\nint W::size() const { return 1; }\nstatic int local(int x) { return x; }\n',
-        [("n", "module", 2), ("W", "class", 3), ("id", "field", 4), ("W", "method", 6), ("~W", "method", 7), ("size", "method", 8), ("mine", "method", 10), ("Q", "class", 12), ("M", "enum", 13), ("Id", "type", 14), ("Old", "type", 15), ("size", "function", 17), ("local", "function", 18)],
+        [("n", "module", 2), ("W", "class", 3), ("id", "field", 4), ("W", "method", 6), ("~W", "method", 7), ("size", "method", 8), ("mine", "method", 10), ("Q", "class", 12), ("a", "field", 12), ("M", "enum", 13), ("Id", "type", 14), ("Old", "type", 15), ("size", "function", 17), ("local", "function", 18)],
         ["x.hpp"], None, {"id", "mine", "local"},
     ),
 }
@@ -77,3 +77,38 @@ def test_languages():
 
 def test_line_numbers():
     assert [extract(t, "go").lines for t in ("", "a", "a\n", "a\nb", "\n")] == [0, 1, 1, 2, 1]
+
+
+ONE_LINE = {
+    "cpp": [
+        ("class A { public: int x, y; void g(); private: int z; };", [("A", "class", "public"), ("g", "method", "public"), ("x", "field", "public"), ("y", "field", "public"), ("z", "field", "private")]),
+        ("struct S { int a = f(1, 2), b; ~S(); };", [("S", "class", "public"), ("a", "field", "public"), ("b", "field", "public"), ("~S", "method", "public")]),
+        ("namespace n { int f(int a) { return g(a); } int h(); }", [("f", "function", "public"), ("h", "function", "public"), ("n", "module", "public")]),
+        ("static int\nlong_one(int a,\n         int b)\n{\n  return 1;\n}", [("long_one", "function", "public")]),
+    ],
+    "c": [
+        ("struct p { int x, *y; char s[4]; }; int f(void); int g(void) { return f(); }", [("f", "function", "public"), ("g", "function", "public"), ("p", "class", "public"), ("s", "field", "public"), ("x", "field", "public"), ("y", "field", "public")]),
+        ("for (int i = 0; i < 3; i++) { int j; }", []),
+    ],
+    "typescript": [
+        ("class B { a = 1; private c: string; b() { return d(); } e(x: number) {} }", [("B", "class", "public"), ("a", "field", "public"), ("b", "method", "public"), ("c", "field", "private"), ("e", "method", "public")]),
+        ("interface I { a: string, b?: Map<string, number>; c: () => void }", [("I", "interface", "public"), ("a", "field", "public"), ("b", "field", "public"), ("c", "field", "public")]),
+    ],
+    "rust": [
+        ("struct S { pub a: u32, b: HashMap<String, u8> }", [("S", "class", "private"), ("a", "field", "private"), ("b", "field", "private")]),
+        ("impl S { pub fn a(&self) {} fn b() { c(); } }", [("a", "method", "private"), ("b", "method", "private")]),
+        ("pub const A: u8 = 1; const B: u8 = 2;", [("A", "constant", "public"), ("B", "constant", "public")]),
+        ("mod tests { fn no() {} } fn yes() {}", [("yes", "function", "private")]),
+    ],
+    "go": [("type T struct { a, b int; C string }", [("C", "field", "public"), ("T", "class", "public"), ("a", "field", "private"), ("b", "field", "private")])],
+    "java": [("class K { int a = 1, b; private String s; void m() { n(); } }", [("K", "class", "public"), ("a", "field", "public"), ("b", "field", "public"), ("m", "method", "public"), ("s", "field", "private")])],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(ONE_LINE))
+def test_several_declarations_a_line(lang):
+    for text, expected in ONE_LINE[lang]:
+        got = sorted({(n, k) for _, n, k, _, _ in extract(text, lang).symbols})
+        assert got == sorted({(n, k) for n, k, _ in expected}), text
+    if lang == "cpp":
+        assert {(n, v) for _, n, k, _, v in extract(ONE_LINE["cpp"][0][0], "cpp").symbols if k in ("field", "method")} == {("x", "public"), ("y", "public"), ("g", "public"), ("z", "private")}
