@@ -102,8 +102,10 @@ def build_symbol_index(spark: SparkSession, root: str, opts: MapOptions | None =
 
 def expand_symbol(spark: SparkSession, root: str, rel: str, name: str, line: int | None = None, opts: MapOptions | None = None):
     """None if there is no such symbol any more."""
-    p = Parsed(spark, root, opts or MapOptions())
-    return lookup.expand_symbol(p.symbols, p.edges(), p.files, rel, name, line).first()
+    opts = opts or MapOptions()
+    p = Parsed(spark, root, opts)
+    symbols = p.symbols.filter("visibility = 'public'") if opts.no_private else p.symbols
+    return lookup.expand_symbol(symbols, p.edges(), p.files, rel, name, line).first()
 
 
 def explain(spark: SparkSession, root: str, rel: str, opts: MapOptions | None = None):

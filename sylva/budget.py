@@ -21,6 +21,8 @@ from .operators import score
 from .render import markdown
 
 RESERVE = 0.40
+#: Directories at the root that a footer can be made of; beyond, packing is an error.
+ROOT_DIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,9 @@ def _footer(files: DataFrame, most: int) -> Footer:
     levels: dict[int, Counter] = {}
     for depth in range(1, deepest + 1):
         name = F.expr(f"if(size(d) = 0, '.', array_join(slice(d, 1, {depth}), '/'))")
-        rows = dirs.groupBy(name.alias("dir")).agg(F.sum("n").alias("n")).limit(score.FOOTER_GROUPS + most + 2 if depth > 1 else 1 << 20).collect()
+        rows = dirs.groupBy(name.alias("dir")).agg(F.sum("n").alias("n")).limit(score.FOOTER_GROUPS + most + 2 if depth > 1 else ROOT_DIRS + 1).collect()
+        if len(rows) > ROOT_DIRS:
+            raise ValueError(f"more than {ROOT_DIRS} directories at the root")
         if depth > 1 and len(rows) > score.FOOTER_GROUPS + most + 1:
             break
         levels[depth] = Counter({r.dir: r.n for r in rows})

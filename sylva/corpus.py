@@ -40,7 +40,7 @@ FROM (
   FROM files CROSS JOIN ({_SIX}) r WHERE j < p_size % 7) s""",
     "adjacent": """
 SELECT DISTINCT src, dst FROM (
-  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_orderkey % 4 = 0) a
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) a
 WHERE dst IS NOT NULL""",
     # import text in the importer's style, of a file that may not be mapped
     "imports": """
@@ -57,7 +57,7 @@ SELECT DISTINCT f.file_id, f.rel, f.lang, CASE
 FROM adjacent a JOIN files f ON f.pk = a.src JOIN (
   SELECT pk, rel, substr(rel, 1, length(rel) - length(ext) - 1) AS stem, CASE WHEN pk % 19 = 4 THEN 'index' ELSE concat('part_', pk) END AS base FROM paths) t ON t.pk = a.dst""",
     "refs": """
-SELECT DISTINCT f.file_id, concat('sym_', (l_partkey * 11 + l_suppkey) % 5003) AS name FROM lineitem l JOIN files f ON f.pk = l.l_partkey WHERE l_orderkey % 4 = 1""",
+SELECT DISTINCT f.file_id, concat('sym_', (l_partkey * 11 + l_suppkey) % 5003) AS name FROM lineitem l JOIN files f ON f.pk = l.l_partkey""",
     # two trees: files and symbols that go, come, move, change their signature or kind
     "tree_files": """
 SELECT 'old' AS tree, rel, lang FROM files WHERE pk % 13 <> 1
@@ -79,18 +79,12 @@ SELECT 'new' AS tree, CASE WHEN f.pk % 17 = 2 THEN concat('moved/', i.rel) ELSE
 FROM imports i JOIN files f ON f.file_id = i.file_id WHERE f.pk % 13 <> 2""",
 }
 
-#: In place of the recipes of these names: links from every order, where those take a quarter of the orders each.
-WHOLE = {
-    "adjacent": RECIPES["adjacent"].replace(" WHERE l_orderkey % 4 = 0", ""),
-    "refs": RECIPES["refs"].replace(" WHERE l_orderkey % 4 = 1", ""),
-}
-
 TABLES = ("part", "lineitem", "events", "conversations", "documents", "pages", "customer", "orders")
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str, extra: dict[str, str] | None = None) -> DataFrame:
-    """One of ``RECIPES`` (or of ``extra``, which go first) or a table, as a lazy DataFrame."""
-    return spark.sql(located(with_recipes(f"SELECT * FROM {name}", extra), sf_dir))
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of ``RECIPES`` or a table, as a lazy DataFrame."""
+    return spark.sql(located(with_recipes(f"SELECT * FROM {name}"), sf_dir))
 
 
 def located(text: str, sf_dir: str) -> str:

@@ -18,8 +18,25 @@ KINDS = ("function", "method", "class", "interface", "enum", "type", "constant",
 TYPE_KINDS = ("class", "interface", "enum", "type")
 DETAILS = ("full", "public-only", "public-only-params-elided")
 PRESETS = {"small": 1024, "default": 2048, "large": 4096, "review": 8192}
+# Names of languages that are known but not mapped, by extension.
 UNSUPPORTED_NAMES = {
-    "rb": "Ruby", "php": "PHP", "kt": "Kotlin", "kts": "Kotlin", "swift": "Swift", "cs": "C#", "scala": "Scala", "lua": "Lua", "ex": "Elixir", "exs": "Elixir",
-    "hs": "Haskell", "dart": "Dart", "jl": "Julia", "r": "R", "zig": "Zig", "sh": "Shell", "pl": "Perl", "vue": "Vue",
+    "rb": "Ruby", "erb": "Ruby", "rake": "Ruby", "gemspec": "Ruby",
+    "php": "PHP",
+    "swift": "Swift",
+    "kt": "Kotlin", "kts": "Kotlin",
+    "cs": "C#",
+    "scala": "Scala", "sc": "Scala",
+    "m": "Objective-C", "mm": "Objective-C",
+    "lua": "Lua",
+    "pl": "Perl", "pm": "Perl",
+    "dart": "Dart",
+    "ex": "Elixir", "exs": "Elixir",
+    "erl": "Erlang", "hrl": "Erlang",
+    "hs": "Haskell",
+    "clj": "Clojure", "cljs": "Clojure", "cljc": "Clojure",
+    "sh": "shell scripts", "bash": "shell scripts", "zsh": "shell scripts",
+    "zig": "Zig",
+    "jl": "Julia",
+    "ml": "OCaml", "mli": "OCaml",
 }
 TOKEN_DEFAULT = PRESETS["default"]

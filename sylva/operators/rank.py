@@ -1,8 +1,8 @@
 """Personalised PageRank over the file and symbol graph.
 
 Nodes are keyed ``(file_id, sym_id)``, a null ``sym_id`` being the file; symbols
-have no edges out. The loop is DataFrame joins and aggregates; every few rounds the
-ranks go through the shared folder. A graph of up to ``SMALL_EDGES`` edges is
+have no edges out. The loop is DataFrame joins and aggregates; after each round the
+ranks go through the shared folder, so that none is worked out twice. A graph of up to ``SMALL_EDGES`` edges is
 ranked in one task by the same steps over arrays.
 """
 
@@ -19,7 +19,7 @@ from ..store import materialize
 from .scan import test_path
 
 DAMPING, ROUNDS, STOP, TEST_WEIGHT = 0.85, 20, 1e-9, 0.25
-SMALL_EDGES, EVERY = 2_000_000, 4
+SMALL_EDGES = 2_000_000
 
 
 def node_key(file_id: str = "file_id", sym_id: str = "sym_id") -> Column:
@@ -71,16 +71,14 @@ def pagerank(points: DataFrame, links: DataFrame, rounds: int = ROUNDS, small: i
     degree = materialize(links.join(out_degree(links), "src").withColumn("share", 1 / F.col("n")).select("src", "dst", "share"), "shares")
     dangling = materialize(points.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node"), "dangling")
     ranks = points.select("node", "p", F.col("p").alias("score"))
-    for k in range(rounds):
+    for _ in range(rounds):
         lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         given = degree.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         new = ranks.join(given, "node", "left").select("node", "p", F.col("score").alias("old"), ((1 - DAMPING) * F.col("p") + DAMPING * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p"))).alias("score"))
-        if k % EVERY == EVERY - 1 or k == rounds - 1:
-            new = materialize(new, "ranks")
-            if (new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < stop:
-                ranks = new
-                break
+        new = materialize(new, "ranks")
         ranks = new.drop("old")
+        if (new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < stop:
+            break
     return ranks.select("node", "score").join(points, "node").select("file_id", "sym_id", "score")
 
 

@@ -22,10 +22,10 @@ _SYM = "coalesce(sym_id, -1) as sym_id"
 
 
 class Tree:
-    """The derived relations of one data folder, and what is linked and ranked from them; ``extra`` recipes go before the known ones."""
+    """The derived relations of one data folder, and what is linked and ranked from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, extra: dict[str, str] | None = None) -> None:
-        self.get = lambda name: corpus.relation(spark, sf_dir, name, extra)
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.get = lambda name: corpus.relation(spark, sf_dir, name)
         self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
 
     def table(self, name: str, make=None) -> DataFrame:
@@ -53,19 +53,13 @@ class Tree:
         return score.symbol_scores(self.table("symbols"), self.ranks())
 
 
-def query(name: str, oracle: str | None = None, linked: bool = False):
-    """Registers a query; one that is ``linked``, or whose SQL reads links, also as ``name_whole`` over the links of all orders."""
+def query(name: str, oracle: str | None = None):
+    """Registers a query, and the SQL that gives the same rows if there is any."""
 
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Tree(spark, sf_dir))
-        whole = None
         if oracle is not None:
             ORACLES[name] = corpus.with_recipes(oracle, EXTRA, materialized=True)
-            whole = corpus.with_recipes(oracle, EXTRA | corpus.WHOLE, materialized=True)
-        if linked or whole != ORACLES.get(name):
-            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Tree(spark, sf_dir, corpus.WHOLE))
-            if whole is not None:
-                ORACLES[f"{name}_whole"] = whole
         return f
 
     return add
@@ -200,16 +194,20 @@ def _(t):
     return t.get("files").select("rel", scan.line_count(F.col("content")).alias("lines"))
 
 
-@query("text_gate", "SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS lines FROM documents WHERE text <> ''")
+@query("text_gate", "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END::BIGINT AS lines FROM documents")
 def _(t):
-    docs = t.get("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return scan.valid_text(docs).filter("content is not null and content <> ''").select("doc_id", scan.line_count(F.col("content")).alias("lines"))
+    """Every seventh text gets a byte that isn't UTF-8, so that it must not be read."""
+    content = F.expr("if(doc_id % 7 = 3, concat(cast(text as binary), X'FF'), cast(text as binary))")
+    return scan.valid_text(t.get("documents").select("doc_id", content.alias("content"))).select("doc_id", scan.line_count(F.col("content")).alias("lines"))
 
 
-@query("const_filter", "SELECT file_id, sym_id, upper(name) AS name FROM symbols WHERE regexp_full_match(upper(name), '[A-Z0-9_]*[A-Z][A-Z0-9_]*') AND kind = 'constant'")
+_CASED = "CASE WHEN sym_id % 3 = 0 THEN name WHEN sym_id % 3 = 1 THEN upper(name) ELSE concat('_', line) END"
+
+
+@query("const_filter", f"SELECT file_id, sym_id, name FROM (SELECT file_id, sym_id, {_CASED} AS name FROM symbols) WHERE regexp_full_match(name, '[A-Z0-9_]*[A-Z][A-Z0-9_]*')")
 def _(t):
-    rows = t.get("symbols").filter("kind = 'constant'").select("file_id", "sym_id", F.upper("name").alias("name"))
-    return rows.filter(scan.constant_name(F.col("name")))
+    """Names in small letters, in capitals, and without a letter."""
+    return t.get("symbols").select("file_id", "sym_id", F.expr(_CASED).alias("name")).filter(scan.constant_name(F.col("name")))
 
 
 @query(
@@ -480,7 +478,8 @@ def _(t):
     return t.get("symbols").select("file_id", "sym_id", text.tidy_column(F.col("signature")).alias("sig"))
 
 
-_ODD = "concat(substr(html, 1, 400), chr(9), chr(10), chr(13), chr(1), chr(92), chr(34), substr(html, 1, 50))"
+#: Whole pages, and the odd characters after them.
+_ODD = "concat(html, chr(9), chr(10), chr(13), chr(1), chr(92), chr(34))"
 
 
 @query("json_escape", f"SELECT page_id, replace(replace(replace(replace(replace(replace({_ODD}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'), chr(1), chr(92) || 'u0001') AS s FROM pages")
@@ -495,21 +494,6 @@ def _(t):
     return t.get("pages").select("page_id", text.xml_escape_column(odd, True).alias("attribute"), text.xml_escape_column(odd, False).alias("content"))
 
 
-#: The SQL of the two above ends at character 400 of a page; here whole pages are escaped, with the odd characters after them.
-_WHOLE = "concat(html, chr(9), chr(10), chr(13), chr(1), chr(92), chr(34))"
-
-
-@query("json_escape_whole", ORACLES["json_escape"].replace(_ODD, _WHOLE))
-def _(t):
-    return t.get("pages").select("page_id", text.json_escape_column(F.expr(_WHOLE)).alias("s"))
-
-
-@query("xml_escape_whole", ORACLES["xml_escape"].replace(_ODD, _WHOLE))
-def _(t):
-    odd = F.expr(_WHOLE)
-    return t.get("pages").select("page_id", text.xml_escape_column(odd, True).alias("attribute"), text.xml_escape_column(odd, False).alias("content"))
-
-
 @query("word_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words FROM documents")
 def _(t):
     return t.get("documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
@@ -518,13 +502,6 @@ def _(t):
 # -- metrics ----------------------------------------------------------------------------------------
 
 
-@query("answer_coverage", """SELECT conv_id AS id, map_id, CASE WHEN conv_id % 2 = 0 THEN contains(m.text, a) OR contains(m.text, b) ELSE contains(m.text, a) AND contains(m.text, b) END AS covered
-FROM (SELECT conv_id, substr(text, 1, 4) AS a, substr(text, 5, 5) AS b FROM conversations WHERE turn = 0) q, (SELECT doc_id AS map_id, text FROM documents WHERE doc_id < 3) m""")
-def _(t):
-    maps = t.get("documents").filter("doc_id < 3").select(F.col("doc_id").alias("map_id"), "text")
-    return metrics.answer_coverage(_questions(t), maps)
-
-
 def _questions(t) -> DataFrame:
     return t.get("conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.expr("if(conv_id % 2 = 0, 'any', 'all')").alias("match"), F.expr("array(substr(text, 1, 4), substr(text, 5, 5))").alias("expect"))
 
@@ -563,37 +540,21 @@ def _(t):
     return t.get("symbols").select("file_id", "sym_id", text.strip_params_column(text.tidy_column(F.col("signature"))).alias("sig"))
 
 
-@query("ladder_pack", linked=True)
+@query("ladder_pack")
 def _(t):
     packed = budget.pack_tables(t.get("files"), t.get("symbols"), t.order(), t.scored(), t.imports(), budget.Options(budget=4096, repo="derived"))
     return t.spark.createDataFrame([(f.rel, f.rank, f.one_line, f.omitted, len(f.symbols)) for f in packed.files] or [], "rel string, pos int, one_line boolean, omitted int, symbols int")
 
 
-@query("answer_coverage_whole")
+@query("answer_coverage")
 def _(t):
-    """All rendered maps of the tree, one a preset of the budget, where ``answer_coverage`` searches documents of three ids."""
-    tree = Tree(t.spark, t.sf_dir, corpus.WHOLE)
-    order, scored = tree.table("order", tree.order), tree.table("scored", tree.scored)
-    pack = lambda n: budget.pack_tables(tree.table("files"), tree.table("symbols"), order, scored, tree.imports(), budget.Options(budget=n, repo="derived"))
+    """Over all rendered maps of the tree, one a preset of the budget."""
+    order, scored = t.table("order", t.order), t.table("scored", t.scored)
+    pack = lambda n: budget.pack_tables(t.table("files"), t.table("symbols"), order, scored, t.imports(), budget.Options(budget=n, repo="derived"))
     maps = [(name, markdown.render(pack(n))) for name, n in PRESETS.items()]
     return metrics.answer_coverage(_questions(t), t.spark.createDataFrame(maps, "map_id string, text string"))
 
 
-_TEMPLATE = "CASE lang WHEN 'python' THEN concat('def ', name, '(a):') WHEN 'typescript' THEN concat('function ', name, '(a) {}') WHEN 'rust' THEN concat('fn ', name, '(a: u32) {}') WHEN 'go' THEN concat('func ', name, '(a int) {}') ELSE concat('int ', name, '(int a) {}') END"
-
-
-@query(
-    "extract_symbols",
-    f"""SELECT s.file_id, s.sym_id, s.name, 'function' AS kind, s.line, {_TEMPLATE} AS signature, CASE WHEN lang IN ('rust', 'go') THEN 'private' ELSE 'public' END AS visibility
-FROM symbols s JOIN (SELECT file_id, lang FROM files WHERE lang <> 'java') f ON f.file_id = s.file_id""",
-)
-def _(t):
-    rows = t.get("symbols").select("file_id", "rel", "name", "line").join(t.get("files").filter("lang <> 'java'").select("file_id", "lang"), "file_id").withColumn("t", F.expr(_TEMPLATE))
-    source = F.concat(F.lit("\n\n"), F.expr("array_join(transform(array_sort(collect_list(struct(line, t))), x -> x.t), '\\n\\n\\n\\n')"))
-    files = rows.groupBy("file_id", "rel", "lang").agg(source.alias("content"))
-    return tables.symbols(tables.parse(files)).select("file_id", "sym_id", "name", "kind", "line", "signature", "visibility")
-
-
 def _forms() -> list[tuple[str, ...]]:
     """(lang, kind, kind found, line before, line, line after, visibility, kind of the line before, its visibility); ``$`` is the name, ``^`` the name in capitals.
 
@@ -628,13 +589,13 @@ _FORMED = f"SELECT s.*, {', '.join('m.' + c for c in _FORM if c not in ('kind',
 
 
 @query(
-    "extract_symbols_whole",
+    "extract_symbols",
     f"""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line, name) - 1 AS INTEGER) AS sym_id, name, kind, line, signature, visibility
 FROM (SELECT file_id, CASE WHEN starts_with(replace(form, 'export ', ''), '^') OR contains(form, 'const ^') THEN upper(name) ELSE name END AS name, found AS kind, line, trim({_LINE}) AS signature, seen AS visibility FROM ({_FORMED})
 UNION ALL SELECT file_id, 'Holder', held, line - 1, opens, held_seen FROM ({_FORMED}) WHERE held <> '')""",
 )
 def _(t):
-    """All languages, each symbol in the form of its kind, where ``extract_symbols`` has functions only and no Java."""
+    """All languages, each symbol in the form of its kind."""
     forms = F.broadcast(t.spark.createDataFrame(_forms(), ", ".join(f"{c} string" for c in _FORM)))
     rows = t.get("symbols").select("file_id", "rel", "name", "kind", "line").join(t.get("files").select("file_id", "lang"), "file_id").join(forms, ["lang", "kind"])
     rows = rows.withColumn("t", F.expr(f"concat_ws('\\n', opens, {_LINE}, closes)"))

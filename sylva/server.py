@@ -12,14 +12,29 @@ from .langs import LANGUAGES, TOKEN_DEFAULT
 from .render import structured
 
 PROTOCOL = "2024-11-05"
-PARSE, INVALID, UNKNOWN = -32700, -32600, -32601
-_PATH = {"path": {"type": "string", "description": "directory under the server's root"}}
-_COMMON = {"budget": {"type": "integer"}, "no_private": {"type": "boolean"}, "lang": {"anyOf": [{"type": "string"}, {"type": "array", "items": {"type": "string"}}]}}
+PARSE, INVALID, UNKNOWN, PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
+
+
+def _schema(required: tuple[str, ...], **properties: dict) -> dict:
+    path = {"type": "string", "description": "directory to look at, under the server's root"}
+    return {"type": "object", "properties": {"path": path, **properties}, "required": ["path", *required]}
+
+
+def _is(kind: str, about: str, **more: object) -> dict:
+    return {"type": kind, "description": about, **more}
+
+
+_BUDGET = {"budget": _is("integer", "most tokens of the answer", minimum=1)}
+_NARROW = {
+    "no_private": _is("boolean", "leave out what isn't public"),
+    "lang": {"description": "languages to keep, as a list or with commas between", "anyOf": [{"type": "string"}, {"type": "array", "items": {"type": "string"}}]},
+}
+_FOCUS = {"focus": _is("array", "files or directories to rank from", items={"type": "string"}), "format": _is("string", "form of the map", enum=["md", "json", "xml"])}
 TOOLS = [
-    {"name": "get_map", "description": "The ranked structure of a source tree within a token budget.", "inputSchema": {"type": "object", "properties": _PATH | _COMMON | {"focus": {"type": "array", "items": {"type": "string"}}, "format": {"enum": ["md", "json", "xml"]}}}},
-    {"name": "get_symbol", "description": "Where a symbol of exactly this name is defined.", "inputSchema": {"type": "object", "properties": _PATH | _COMMON | {"name": {"type": "string"}}, "required": ["name"]}},
-    {"name": "get_symbol_index", "description": "Anchors of types, then functions, within a token budget.", "inputSchema": {"type": "object", "properties": _PATH | _COMMON}},
-    {"name": "expand_symbol", "description": "A symbol's signature and what its file imports and is used by.", "inputSchema": {"type": "object", "properties": _PATH | {"anchor": {"type": "string"}}, "required": ["anchor"]}},
+    {"name": "get_map", "description": "The ranked structure of a source tree within a token budget.", "inputSchema": _schema((), **_BUDGET, **_NARROW, **_FOCUS)},
+    {"name": "get_symbol", "description": "Where a symbol of exactly this name is defined.", "inputSchema": _schema(("name",), name=_is("string", "name, letter by letter"), **_NARROW)},
+    {"name": "get_symbol_index", "description": "Anchors of types, then functions, within a token budget.", "inputSchema": _schema((), **_BUDGET, **_NARROW)},
+    {"name": "expand_symbol", "description": "A symbol's signature and what its file imports and is used by.", "inputSchema": _schema(("anchor",), anchor=_is("string", "path#name, or path#name@line where the name repeats"), **_NARROW)},
 ]
 
 
@@ -33,6 +48,8 @@ def parse_anchor(anchor: str) -> tuple[str, str, int | None] | None:
 
 def confine(root: str, path: str | None) -> str:
     """``path`` under ``root``, links resolved; ValueError outside or if it is no directory."""
+    if path is not None and not isinstance(path, str):
+        raise ValueError("path is a text")
     full = os.path.realpath(os.path.join(root, path or "."))
     if full != (top := os.path.realpath(root)) and not full.startswith(top + os.sep):
         raise ValueError("the path leaves the server's root")
@@ -41,47 +58,61 @@ def confine(root: str, path: str | None) -> str:
     return full
 
 
+def _texts(value: object, name: str) -> list[str]:
+    """A list of texts, or one with commas."""
+    if value is None:
+        return []
+    parts = value.split(",") if isinstance(value, str) else value
+    if not isinstance(parts, list) or not all(isinstance(x, str) for x in parts):
+        raise ValueError(f"{name} is a text or a list of texts")
+    return [x.strip() for x in parts if x.strip()]
+
+
 def options(args: dict) -> api.MapOptions:
-    lang = args.get("lang") or []
-    langs = [x.strip() for x in (lang.split(",") if isinstance(lang, str) else lang) if x.strip()]
+    langs = _texts(args.get("lang"), "lang")
     if unknown := [x for x in langs if x not in LANGUAGES]:
         raise ValueError(f"unknown language {unknown[0]}")
     size = args.get("budget", TOKEN_DEFAULT)
     if not isinstance(size, int) or isinstance(size, bool) or size <= 0:
         raise ValueError("budget is a positive number")
-    return api.MapOptions(size, bool(args.get("no_private")), langs or None, list(args.get("focus") or []))
+    return api.MapOptions(size, bool(args.get("no_private")), langs or None, _texts(args.get("focus"), "focus"))
 
 
 class Server:
     def __init__(self, spark, root: str) -> None:
         self.spark, self.root = spark, root
 
-    def call(self, name: str, args: dict) -> str:
-        root = confine(self.root, args.get("path"))
+    def call(self, name: str, args: object) -> str:
+        if not isinstance(args, dict):
+            raise ValueError("arguments are named")
+        root, opts = confine(self.root, args.get("path")), options(args)
         if name == "get_map":
-            return api.render_map(api.build_map(self.spark, root, options(args)), args.get("format", "md"))
+            form = args.get("format", "md")
+            if form not in ("md", "json", "xml"):
+                raise ValueError("format is md, json or xml")
+            return api.render_map(api.build_map(self.spark, root, opts), form)
         if name == "get_symbol":
             if not isinstance(args.get("name"), str) or not args["name"]:
                 raise ValueError("name is missing")
-            return json.dumps([r.asDict() for r in api.find_symbol(self.spark, root, args["name"], options(args))])
+            return json.dumps([r.asDict() for r in api.find_symbol(self.spark, root, args["name"], opts)])
         if name == "get_symbol_index":
-            found = api.build_symbol_index(self.spark, root, options(args))
+            found = api.build_symbol_index(self.spark, root, opts)
             return json.dumps({"version": structured.VERSION, **{k: found[k] for k in ("loc", "files", "rendered", "entries")}})
-        if name == "expand_symbol":
-            at = parse_anchor(str(args.get("anchor", "")))
-            if at is None:
-                raise ValueError("an anchor is path#name or path#name@line")
-            row = api.expand_symbol(self.spark, root, *at)
-            return json.dumps(row.asDict() if row else None)
-        raise KeyError(name)
+        at = parse_anchor(args["anchor"]) if isinstance(args.get("anchor"), str) else None
+        if at is None:
+            raise ValueError("an anchor is path#name or path#name@line")
+        row = api.expand_symbol(self.spark, root, *at, opts)
+        return json.dumps(row.asDict() if row else None)
 
     def handle(self, request: object) -> dict | None:
         """The answer; None to a notification."""
         if not isinstance(request, dict) or not isinstance(request.get("method"), str):
             return self.error(None, INVALID, "not a request")
-        number, method, params = request.get("id"), request["method"], request.get("params") or {}
+        number, method, params = request.get("id"), request["method"], request.get("params")
         if "id" not in request:
             return None
+        if params is not None and not isinstance(params, dict):
+            return self.error(number, PARAMS, "params are named")
         if method == "initialize":
             return self.answer(number, {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "sylva", "version": "1"}})
         if method == "ping":
@@ -89,10 +120,12 @@ class Server:
         if method == "tools/list":
             return self.answer(number, {"tools": TOOLS})
         if method == "tools/call":
+            name = (params or {}).get("name")
+            if name not in [t["name"] for t in TOOLS]:
+                return self.answer(number, {"content": [{"type": "text", "text": f"unknown tool {name!r}"}], "isError": True})
             try:
-                text, bad = self.call(str(params.get("name")), params.get("arguments") or {}), False
-            except KeyError as e:
-                text, bad = f"unknown tool {e}", True
+                arguments = (params or {}).get("arguments")
+                text, bad = self.call(name, {} if arguments is None else arguments), False
             except (ValueError, OSError) as e:
                 text, bad = str(e), True
             return self.answer(number, {"content": [{"type": "text", "text": text}], "isError": bad})
@@ -114,8 +147,10 @@ def serve(spark, root: str, requests: TextIO, answers: TextIO) -> None:
             continue
         try:
             found = server.handle(json.loads(line))
-        except json.JSONDecodeError as e:
+        except ValueError as e:
             found = server.error(None, PARSE, str(e))
+        except Exception as e:  # one failed request must not end the others
+            found = server.error(None, INTERNAL, f"{type(e).__name__}: {e}")
         if found is not None:
             answers.write(json.dumps(found) + "\n")
             answers.flush()

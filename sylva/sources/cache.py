@@ -67,7 +67,7 @@ class Cache:
 
     def info(self) -> dict:
         files = [os.path.join(d, f) for d, _, names in os.walk(self.folder) for f in names]
-        return {"path": self.folder, "exists": os.path.isdir(self.path), "bytes": sum(map(os.path.getsize, files)), "entries": self.read().count(), "self_ignored": os.path.isfile(os.path.join(self.folder, ".gitignore"))}
+        return {"path": self.folder, "version": VERSION, "exists": os.path.isdir(self.path), "bytes": sum(map(os.path.getsize, files)), "entries": self.read().count(), "self_ignored": os.path.isfile(os.path.join(self.folder, ".gitignore"))}
 
     def clean(self) -> bool:
         there = os.path.isdir(self.folder)

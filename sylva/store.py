@@ -10,25 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and all of Spark is on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sylva-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back; also where it stands. It goes when the process ends, or by ``remove``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    return write(df, label)[0]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     if getattr(spark.sparkContext, "_jsc", None) is None:
         return
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

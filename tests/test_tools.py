@@ -202,6 +202,41 @@ def test_server(spark, root):
     assert "# map:" in server.call("get_map", {"budget": 500, "focus": ["app/util.py"]}) and json.loads(server.call("get_symbol_index", {}))["entries"]
 
 
+def test_server_survives_bad_requests(root):
+    out = io.StringIO()
+    call = lambda number, **params: {"jsonrpc": "2.0", "id": number, "method": "tools/call", "params": params}
+    ask = [
+        {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": [1]}, [], 5, {"id": 2}, call(3, name="get_map", arguments=[1]), call(4, name="get_map", arguments={"path": 5}), call(5, name="nothing"), call(6),
+        call(7, name="get_symbol", arguments={"path": ".", "lang": 3}), call(8, name="get_symbol", arguments={"path": "."}), call(9, name="get_map", arguments={"path": ".", "budget": "x"}), call(10, name="expand_symbol", arguments={"anchor": 3}),
+        call(11, name="get_symbol", arguments={"path": ".", "name": "f"}), {"jsonrpc": "2.0", "id": 12, "method": "ping"},
+    ]
+    serve(None, root, io.StringIO("\n".join(map(json.dumps, ask)) + "\n{\n"), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [a["id"] for a in got] == [1, None, None, None, 3, 4, 5, 6, 7, 8, 9, 10, None, 12, None]
+    assert [a["error"]["code"] for a in got if "error" in a] == [-32602, -32600, -32600, -32600, -32603, -32700]
+    assert all(a["result"]["isError"] for a in got[4:12])
+
+
+def test_tool_schemas():
+    from sylva.server import TOOLS
+
+    for t in TOOLS:
+        own = t["inputSchema"]
+        assert "path" in own["required"] and {"no_private", "lang"} <= set(own["properties"]) and set(own["required"]) <= set(own["properties"])
+        assert all("description" in p for p in own["properties"].values())
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sylva import store
+
+    conf = SimpleNamespace(get=lambda key, default: default, set=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        store.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert store.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: "hdfs://x/y/"), sparkContext=None)) == "hdfs://x/y"
+
+
 def test_watch(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = lambda *r: spark.createDataFrame([(*x, None) for x in r], "rel string, lang string, content string, seen string").selectExpr("rel", "lang", "content", "current_timestamp() as seen").write.mode("append").parquet(src)

@@ -1,4 +1,4 @@
-"""Registered queries that read all of a relation of which others read a part."""
+"""Registered queries read all of their relations."""
 
 from sylva import corpus
 from sylva.functions import text
@@ -11,8 +11,8 @@ def test_whole_pages_are_escaped(spark, sf):
     odd = "\t\n\r\x01\\\""
     pages = {r.page_id: r.html + odd for r in corpus.relation(spark, sf, "pages").collect()}
     assert max(map(len, pages.values())) > 10_000
-    assert {r.page_id: f'"{r.s}"' for r in registry.QUERIES["json_escape_whole"](spark, sf).collect()} == {k: text.json_string(v) for k, v in pages.items()}
-    for r in registry.QUERIES["xml_escape_whole"](spark, sf).collect():
+    assert {r.page_id: f'"{r.s}"' for r in registry.QUERIES["json_escape"](spark, sf).collect()} == {k: text.json_string(v) for k, v in pages.items()}
+    for r in registry.QUERIES["xml_escape"](spark, sf).collect():
         assert (r.attribute, r.content) == (text.xml_escape(pages[r.page_id], True), text.xml_escape(pages[r.page_id]))
 
 
@@ -24,14 +24,13 @@ def test_all_orders_give_links(spark, sf):
     for r in sorted(lines, key=lambda r: (r.l_linenumber, r.l_partkey, r.l_suppkey)):
         orders.setdefault(r.l_orderkey, []).append(r.l_partkey)
     adjacent = {p for parts in orders.values() for p in zip(parts, parts[1:])}
-    get = lambda name: [tuple(r) for r in corpus.relation(spark, sf, name, corpus.WHOLE).collect()]
+    get = lambda name: [tuple(r) for r in corpus.relation(spark, sf, name).collect()]
     assert sorted(get("refs")) == sorted(refs) and sorted(get("adjacent")) == sorted(adjacent)
 
 
-def test_queries_of_links_have_a_whole_form():
-    linked = {"import_edges", "ref_edges", "resolve_c", "in_degree", "out_degree", "pagerank_20", "pagerank_focus", "file_scores", "file_order", "diff_severity", "ladder_pack"}
-    assert {f"{n}_whole" for n in linked} <= set(registry.QUERIES)
-    assert all("l_orderkey %" not in sql for n, sql in registry.ORACLES.items() if n.endswith("_whole"))
+def test_no_registered_query_takes_a_part_of_a_relation():
+    every = " ".join([*corpus.RECIPES.values(), *registry.ORACLES.values()])
+    assert "l_orderkey %" not in every and "substr(html" not in every and not any(n.endswith("_whole") for n in registry.QUERIES)
 
 
 def test_answers_are_sought_in_every_map(spark, sf):
@@ -39,13 +38,13 @@ def test_answers_are_sought_in_every_map(spark, sf):
     maps = spark.createDataFrame([(7, "a b c"), (9, "x z"), (12345, "b z")], "map_id long, text string")
     got = {(r.id, r.map_id) for r in metrics.answer_coverage(questions, maps).collect() if r.covered}
     assert got == {(1, 7), (1, 9), (1, 12345), (2, 12345), (3, 7)}
-    whole = registry.QUERIES["answer_coverage_whole"](spark, sf).collect()
+    whole = registry.QUERIES["answer_coverage"](spark, sf).collect()
     asked = corpus.relation(spark, sf, "conversations").filter("turn = 0").count()
     assert {r.map_id for r in whole} == set(PRESETS) and len(whole) == asked * len(PRESETS)
 
 
 def test_symbols_of_every_language_and_kind_are_extracted(spark, sf):
-    got = registry.QUERIES["extract_symbols_whole"](spark, sf).join(corpus.relation(spark, sf, "files").select("file_id", "lang"), "file_id").collect()
+    got = registry.QUERIES["extract_symbols"](spark, sf).join(corpus.relation(spark, sf, "files").select("file_id", "lang"), "file_id").collect()
     kinds = {}
     for r in got:
         kinds.setdefault(r.lang, set()).add(r.kind)
