@@ -6,6 +6,42 @@ import corpus_pipeline
 from sylva.llm import entry, mixing
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], COLUMNS)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (2, long, "b"), (3, long + " more", "a"), (5, "other text of five words here", "a"), (5, long.upper(), "a"), (None, long, "z"), (None, None, "a"), (7, "", "a"), (8, " ", "a"), (9, "p q", "a"), (9, "p q", "b")]
+    got = corpus_pipeline.drop_copies(spark, frame(spark, rows), "").collect()
+    assert sorted(repr((r.doc_id, r.text, r.source)) for r in got) == sorted(map(repr, [(None, long, "z"), (5, "other text of five words here", "a"), (None, None, "a"), (9, "p q", "a")]))
+
+
+def test_line_dedup_and_leaks_by_brute_force(spark, sf, tmp_path):
+    line = "a line that is long enough to be counted, as it is repeated"
+    rows = [(k, f"{line}\nown words {k}", "s") for k in range(6)] + [(10, line, "s"), (11, None, "s"), (12, "", "s"), (None, line, "s"), (13, line, "s"), (13, line, "s")]
+    kept = corpus_pipeline.drop_lines(spark, frame(spark, rows), "").collect()
+    # the largest id keeps the line; documents that lose all their words go
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in kept) == sorted([(str(k), f"own words {k}", 11) for k in range(6)] + [("11", "", 0), ("12", "", 0), ("13", line, len(line)), ("13", line, len(line))])
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "x Alpha, beta gamma y", "s"), (1, "x Alpha, beta gamma y", "s"), (2, "alpha beta", "s"), (None, None, "s"), (3, "", "s"), (3, "", "s")]
+    kept = corpus_pipeline.drop_leaks(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("2", "alpha beta"), ("3", ""), ("3", ""), ("None", "")]
+
+
+def test_toxic_rows_go_whatever_their_id(spark, tmp_path):
+    vocab = ["bana", "celo", "diru", "fono", "gatu"]
+    rows = [(k, " ".join(vocab[(k + j) % 5] for j in range(20)) + f" n{k}" + (" moronic scumbag" if k % 3 == 0 else ""), "s") for k in range(120)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    more = [(None, "celo diru moronic scumbag fono", "s"), (None, "celo diru", "s"), (500, None, "s"), (500, "", "s"), (7, "you moronc scumbagg", "s"), (8, "bana", "s"), (8, "bana", "s")]
+    kept = corpus_pipeline.drop_toxic(spark, frame(spark, more), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("500", ""), ("500", ""), ("8", "bana"), ("8", "bana"), ("None", "celo diru")]
+
+
 def test_stages_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = []
