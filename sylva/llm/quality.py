@@ -126,10 +126,12 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, score)`` of every row of ``docs``; ``labels(doc_id, quality)`` holds the rows to learn from.
 
-    Null texts count as empty ones and get a score too.
+    Null texts count as empty ones and get a score too, and so do rows without an id; rows that repeat an id each get a row. All texts of an id are learnt from with all
+    labels of it, a repeated label once; labels other than 0 and 1 are left out. Without labels every score is a half. Other columns are not read; an empty
+    table gives no rows.
     """
     table = materialize(features(docs), "quality")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").distinct()
     model = fit(moments(table.join(known, "doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
