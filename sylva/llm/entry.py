@@ -131,7 +131,7 @@ FROM g GROUP BY r, doc_id
 SQL_MIXING = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text), '{mixing.SEED}')), 1, 16) AS at FROM documents
+         substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text), '{mixing.SEED}')), 1, 16) AS drawn FROM documents
 ), s AS (
   SELECT *, (rank - 1) % 3 + 1 AS w, {mixing.EPOCHS} * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)
@@ -140,9 +140,9 @@ WITH d AS (
   FROM s WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (SELECT lft AS l_left, rest AS l_rest FROM f WHERE cap * rest >= lft * w ORDER BY CAST(cap AS DOUBLE) / w, rank LIMIT 1),
 t AS (SELECT source, source_size, rank, total, CASE WHEN l_rest IS NULL OR cap * l_rest <= l_left * w THEN CAST(cap AS DOUBLE) ELSE CAST(l_left * w AS DOUBLE) / l_rest END AS target FROM f LEFT JOIN l ON true),
-p AS (SELECT d.*, source_size, target, rank, total, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY at, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS played FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT r, size, total, rank, at, doc_id, epoch, (played + epoch * source_size) / target AS time FROM p, (SELECT unnest(range(0, {mixing.EPOCHS})) AS epoch) WHERE size > 0 AND target > 0),
-q AS (SELECT r, sum(size) OVER (ORDER BY time, rank, at, doc_id NULLS FIRST, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= total AS inside FROM c),
+p AS (SELECT d.*, source_size, target, rank, total, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY drawn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS played FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT r, size, total, rank, drawn, doc_id, epoch, (played + epoch * source_size) / target AS time FROM p, (SELECT unnest(range(0, {mixing.EPOCHS})) AS epoch) WHERE size > 0 AND target > 0),
+q AS (SELECT r, sum(size) OVER (ORDER BY time, rank, drawn, doc_id NULLS FIRST, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= total AS inside FROM c),
 k AS (SELECT r, count(*) AS copies FROM q WHERE inside GROUP BY r)
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken FROM p LEFT JOIN k USING (r)
 """
