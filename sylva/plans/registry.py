@@ -194,11 +194,11 @@ def _(t):
     return t.get("files").select("rel", scan.line_count(F.col("content")).alias("lines"))
 
 
-@query("text_gate", "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END::BIGINT AS lines FROM documents")
+@query("text_gate", "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN -1 WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END::BIGINT AS lines FROM documents")
 def _(t):
-    """Every seventh text gets a byte that isn't UTF-8, so that it must not be read."""
+    """Every seventh text gets a byte that isn't UTF-8, so that it must not be read: -1."""
     content = F.expr("if(doc_id % 7 = 3, concat(cast(text as binary), X'FF'), cast(text as binary))")
-    return scan.valid_text(t.get("documents").select("doc_id", content.alias("content"))).select("doc_id", scan.line_count(F.col("content")).alias("lines"))
+    return scan.valid_text(t.get("documents").select("doc_id", content.alias("content"))).select("doc_id", F.coalesce(scan.line_count(F.col("content")), F.lit(-1)).cast("bigint").alias("lines"))
 
 
 _CASED = "CASE WHEN sym_id % 3 = 0 THEN name WHEN sym_id % 3 = 1 THEN upper(name) ELSE concat('_', line) END"
