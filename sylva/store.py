@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that stand, in the order of their writing.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only where it is unset and all of Spark is on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +31,7 @@ def write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(remove, spark, path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -39,3 +44,16 @@ def remove(spark: SparkSession, path: str) -> None:
         return
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def mark() -> int:
+    """A place in the order of writing, for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: str) -> None:
+    """Removes the tables written since ``mark`` gave ``since``, but for ``keep``: what was worked out from them must stand by itself."""
+    for path in _written[since:]:
+        if path != keep:
+            remove(spark, path)
+    _written[since:] = [keep]
