@@ -48,7 +48,7 @@ def spread_join(big: DataFrame, wide: DataFrame, key: str, weight: str, total: i
     counted = wide.select(key, weight).withColumn("_parts", parts)
     salted = lookup_join(big, counted, key, weight, total).withColumn("_salt", F.expr(f"cast(pmod(xxhash64({', '.join(big.columns)}), _parts) as int)")).drop("_parts", weight)
     copies = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def running_sums(rows: DataFrame, by: list[str], order: list[str], **sums: str) -> DataFrame:
