@@ -67,19 +67,22 @@ def symbol_changes(files: DataFrame, symbols: DataFrame, no_private: bool = Fals
     side = lambda t: F.array_sort(F.collect_list(F.when(F.col("tree") == t, F.col("signature"))))
     seen = lambda t: F.max((F.col("tree") == t) & (F.col("visibility") == "public"))
     b = both.groupBy("rel", "kind", "name").agg(side("old").alias("olds"), side("new").alias("news"), seen("old").alias("old_public"), seen("new").alias("new_public")).filter("olds <> news")
-    changed = b.filter("size(olds) = 1 and size(news) = 1").select("rel", F.lit("changed").alias("op"), "kind", F.lit(None).cast("string").alias("new_kind"), "name", F.col("olds")[0].alias("old_sig"), F.col("news")[0].alias("new_sig"), severity(F.lit("changed"), F.col("new_public")).alias("severity"))
-    rest = b.filter("not (size(olds) = 1 and size(news) = 1)")
-    null = F.lit(None).cast("string")
-    added = rest.withColumn("s", F.explode(F.expr("filter(news, x -> not array_contains(olds, x))"))).select("rel", F.lit("added").alias("op"), "kind", "name", "s", F.col("new_public").alias("public"))
-    removed = rest.withColumn("s", F.explode(F.expr("filter(olds, x -> not array_contains(news, x))"))).select("rel", F.lit("removed").alias("op"), "kind", "name", "s", F.col("old_public").alias("public"))
+    # one stream of changes, without a union: over a union of branches dealt out alike Spark 4.1 leaves out the exchange that a window needs
+    row = "named_struct('op', '{0}', 's', {1}, 'old_sig', {2}, 'new_sig', {3}, 'public', {4})".format
+    one = f"array({row('changed', 'news[0]', 'olds[0]', 'news[0]', 'new_public')})"
+    added = f"transform(filter(news, x -> not array_contains(olds, x)), x -> {row('added', 'x', 'cast(null as string)', 'x', 'new_public')})"
+    removed = f"transform(filter(olds, x -> not array_contains(news, x)), x -> {row('removed', 'x', 'x', 'cast(null as string)', 'old_public')})"
+    each = b.select("rel", "kind", "name", F.expr(f"inline(if(size(olds) = 1 and size(news) = 1, {one}, concat({added}, {removed})))"))
     by = Window.partitionBy("rel", "name")
     n = lambda op: F.count_if(F.col("op") == op).over(by)
     pick = lambda op, c: F.max(F.when(F.col("op") == op, F.col(c))).over(by)
-    lone = added.unionByName(removed).withColumn("paired", (n("added") == 1) & (n("removed") == 1) & (pick("added", "kind") != pick("removed", "kind")))
-    lone = lone.withColumns({"was": pick("removed", "kind"), "was_sig": pick("removed", "s")})
-    single = lone.filter("not paired").select("rel", "op", "kind", null.alias("new_kind"), "name", F.when(F.col("op") == "removed", F.col("s")).alias("old_sig"), F.when(F.col("op") == "added", F.col("s")).alias("new_sig"), severity(F.col("op"), F.col("public")).alias("severity"))
-    kinds = lone.filter("paired and op = 'added'").select("rel", F.lit("kind").alias("op"), F.col("was").alias("kind"), F.col("kind").alias("new_kind"), "name", F.col("was_sig").alias("old_sig"), F.col("s").alias("new_sig"), F.when(F.col("public"), "notable").otherwise("internal").alias("severity"))
-    return changed.unionByName(single).unionByName(kinds)
+    lone = (n("added") == 1) & (n("removed") == 1) & (pick("added", "kind") != pick("removed", "kind")) & (F.col("op") != "changed")
+    each = each.withColumns({"paired": F.coalesce(lone, F.lit(False)), "was": pick("removed", "kind"), "was_sig": pick("removed", "s")}).filter("not (paired and op = 'removed')")
+    pair = lambda then, other: F.when(F.col("paired"), then).otherwise(other)
+    return each.select(
+        "rel", pair(F.lit("kind"), F.col("op")).alias("op"), pair(F.col("was"), F.col("kind")).alias("kind"), F.when(F.col("paired"), F.col("kind")).alias("new_kind"), "name",
+        pair(F.col("was_sig"), F.col("old_sig")).alias("old_sig"), "new_sig", severity(F.col("op"), F.col("public")).alias("severity"),
+    )
 
 
 def import_changes(files: DataFrame, imports: DataFrame) -> DataFrame:
