@@ -98,7 +98,8 @@ class Diff:
     imports: DataFrame
 
     def changed_files(self) -> DataFrame:
-        return self.symbols.select("rel").unionByName(self.imports.select("rel")).distinct()
+        """A join and no union, over which the exchange of ``distinct`` would be left out (see ``symbol_changes``)."""
+        return self.symbols.select("rel").distinct().join(self.imports.select("rel").distinct(), "rel", "full")
 
     def severities(self) -> DataFrame:
         """``(severity, n)`` over every change; each import is informational."""

@@ -8,7 +8,7 @@ from sylva.plans import registry
 
 from .test_queries import rows
 
-UNIONS = ("diff_symbols", "diff_kind_changes", "diff_files", "diff_imports", "diff_severity", "path_index", "resolve_c", "import_edges")
+UNIONS = ("diff_symbols", "diff_kind_changes", "diff_changed_files", "diff_files", "diff_imports", "diff_severity", "path_index", "resolve_c", "import_edges")
 
 
 @pytest.fixture
