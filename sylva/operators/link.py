@@ -98,7 +98,9 @@ def import_edges(resolved: DataFrame) -> DataFrame:
 def reference_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct ``(src, dst_file, dst_sym)``: call names and every definition of that name in another file.
 
-    Names are skewed; the join is a plain equi-join with a residual, which adaptive execution splits.
+    Names are skewed; the join is a plain equi-join with a residual, which adaptive execution splits. Call names are made distinct before
+    it, so its rows are, as symbols have one name each: the many rows are not shuffled.
     """
     right = symbols.select("name", F.col("file_id").alias("dst_file"), F.col("sym_id").alias("dst_sym"))
-    return refs.join(right, "name").filter("file_id <> dst_file").select(F.col("file_id").alias("src"), "dst_file", "dst_sym").distinct()
+    calls = refs.select("file_id", "name").distinct()
+    return calls.join(right, "name").filter("file_id <> dst_file").select(F.col("file_id").alias("src"), "dst_file", "dst_sym")
