@@ -40,11 +40,14 @@ class Tree:
     def references(self) -> DataFrame:
         return link.reference_edges(self.get("refs"), self.table("symbols"))
 
+    def named(self) -> DataFrame:
+        return self.table("named", lambda: rank.named_references(self.get("refs"), self.table("symbols")))
+
     def ranks(self, focus: bool = False) -> DataFrame:
         files, symbols = self.table("files"), self.table("symbols")
         seeds = score.focus_seeds(files, [FOCUS_DIR]) if focus else None
         points = rank.teleport(rank.nodes(files, symbols), seeds)
-        return self.table(f"ranks-{focus}", lambda: rank.pagerank(points, rank.edges(self.imports(), self.references()), stop=0.0))
+        return self.table(f"ranks-{focus}", lambda: rank.pagerank_by_name(points, self.imports(), self.named(), symbols))
 
     def order(self) -> DataFrame:
         return score.file_order(self.table("files"), score.file_scores(self.ranks()), score.in_degree(self.imports()))
@@ -277,7 +280,7 @@ def _(t):
 
 @query("out_degree", "SELECT src, n FROM outs")
 def _(t):
-    return rank.out_degree(rank.edges(t.imports(), t.references()).distinct())
+    return rank.out_degrees(t.imports(), t.named()).select(F.expr("file_id * 4294967296L").alias("src"), "n")
 
 
 @query("test_weight", "SELECT file_id, w FROM weighted WHERE sym_id IS NULL")
