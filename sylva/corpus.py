@@ -80,25 +80,35 @@ FROM imports i JOIN files f ON f.file_id = i.file_id WHERE f.pk % 13 <> 2""",
 }
 
 TABLES = ("part", "lineitem", "events", "conversations", "documents", "pages", "customer", "orders")
+#: About the rows of ``lineitem`` in a slice, and the most slices: each meets all files anew.
+SLICE_ROWS, MOST_SLICES = 6_000_000, 16
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of ``RECIPES`` or a table, as a lazy DataFrame."""
-    return spark.sql(located(with_recipes(f"SELECT * FROM {name}"), sf_dir))
+def relation(spark: SparkSession, sf_dir: str, name: str, given: dict[str, str] | None = None) -> DataFrame:
+    """One of ``RECIPES`` or a table, as a lazy DataFrame; ``given``: what Spark reads in place of a recipe or table, a source of a FROM clause each."""
+    return spark.sql(located(with_recipes(f"SELECT * FROM {name}", given=given), sf_dir, given))
 
 
-def located(text: str, sf_dir: str) -> str:
+def located(text: str, sf_dir: str, given: dict[str, str] | None = None) -> str:
     """``text`` with the tables' names replaced by their Parquet paths, for Spark."""
-    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b(?! AS)", rf"\1 parquet.`{sf_dir}/\2.parquet`", text)
+    source = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | (given or {})
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(source)})\b(?! AS)", lambda m: f"{m[1]} {source[m[2]]}", text)
+
+
+def slices(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Sources of a FROM clause that together hold each row of ``lineitem`` once, an order in one of them."""
+    table = f"parquet.`{sf_dir}/lineitem.parquet`"
+    n = min(MOST_SLICES, 1 + spark.sql(f"SELECT count(*) FROM {table}").first()[0] // SLICE_ROWS)
+    return [f"(SELECT * FROM {table} WHERE pmod(xxhash64(l_orderkey), {n}) = {k})" for k in range(n)] if n > 1 else [table]
 
 
 def _mentions(text: str, name: str) -> bool:
     return re.search(rf"\b(FROM|JOIN) {name}\b", text) is not None
 
 
-def with_recipes(body: str, extra: dict[str, str] | None = None, materialized: bool = False) -> str:
-    """``body`` after the common table expressions it needs, in one SQL text; ``materialized``: each worked out once (not known to Spark)."""
-    known = RECIPES | (extra or {})
+def with_recipes(body: str, extra: dict[str, str] | None = None, materialized: bool = False, given: dict[str, str] | None = None) -> str:
+    """``body`` after the common table expressions it needs, but for ``given``, in one SQL text; ``materialized``: each worked out once (not known to Spark)."""
+    known = {n: text for n, text in (RECIPES | (extra or {})).items() if n not in (given or {})}
     order: list[str] = []
 
     def need(text: str) -> None:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..langs import PACKAGE_STEMS
 
 PATH, BASE = "path", "base"
+#: The most shapes of keys that candidates are held against.
+MOST_SHAPES = 1_000
 
 
 def strip_extension(rel: Column) -> Column:
@@ -31,7 +33,9 @@ def normalize(path: Column) -> Column:
         return F.when(part.isin("", "."), out).when(part == "..", up).otherwise(F.concat(out, F.array(part)))
 
     empty = F.expr("cast(array() as array<string>)")
-    return F.array_join(F.aggregate(F.split(path, "/", -1), empty, step), "/")
+    # a path without such segments stays as it is, and they are seldom
+    odd = path.contains("./") | path.contains("//") | path.startswith("/") | path.endswith("/") | path.endswith(".")
+    return F.when(odd, F.array_join(F.aggregate(F.split(path, "/", -1), empty, step), "/")).otherwise(path)
 
 
 def path_index(files: DataFrame) -> DataFrame:
@@ -63,16 +67,18 @@ def candidates(imports: DataFrame) -> DataFrame:
     folder = F.when(rel.contains("/"), F.regexp_replace(rel, "/[^/]*$", "")).otherwise("")
     bare = F.trim(F.regexp_replace(F.trim(raw), r"^[\"'`]+|[\"'`]+$", ""))
     dotted = F.replace(F.when(lang == "java", java_spec(raw)).otherwise(F.trim(raw)), F.lit("."), F.lit("/"))
-    local = F.when(bare.startswith("."), normalize(F.concat_ws("/", folder, bare)))
+    # worked out once, as a column of its own: both candidates of a relative import stand on it
+    imports = imports.withColumn("local", F.when((lang == "typescript") & bare.startswith("."), normalize(F.concat_ws("/", folder, bare))))
+    local = F.col("local")
     used = F.when(raw.contains("use "), F.regexp_replace(raw, r"^.*?use\s", "")).otherwise(raw)
     used = F.regexp_replace(F.regexp_replace(used, r"[{*;].*$", ""), r"\s+as\s.*$", "")
     crumbs = F.filter(F.split(F.trim(used), "::", -1), lambda s: ~F.trim(s).isin("", "crate", "self", "super"))
     crumbs = F.transform(crumbs, lambda s: F.trim(s))
     parts = F.filter(F.split(bare, "/", -1), lambda s: s != "")
     spec = strip_extension(include_spec(raw))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(crumbs)), lambda n: F.struct(F.size(crumbs) - n, F.lit(PATH), F.array_join(F.slice(crumbs, 1, n), "/")))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.size(parts) - n, F.lit(PATH), F.array_join(F.slice(parts, -n, n), "/")))
-    one = lambda p, kind, key: F.struct(F.lit(p), F.lit(kind), key)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(crumbs)), lambda n: F.struct((F.size(crumbs) - n).alias("p"), F.lit(PATH).alias("kind"), F.array_join(F.slice(crumbs, 1, n), "/").alias("key")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct((F.size(parts) - n).alias("p"), F.lit(PATH).alias("kind"), F.array_join(F.slice(parts, -n, n), "/").alias("key")))
+    one = lambda p, kind, key: F.struct(F.lit(p).alias("p"), F.lit(kind).alias("kind"), key.alias("key"))
     found = (
         F.when(lang.isin("python", "java"), F.array(one(0, PATH, dotted)))
         .when(lang == "typescript", F.array(one(0, PATH, local), one(1, PATH, F.concat(local, F.lit("/index")))))
@@ -84,10 +90,33 @@ def candidates(imports: DataFrame) -> DataFrame:
     return rows.select("file_id", "raw", "c.*").filter("key is not null and key <> ''")
 
 
+def import_index(files: DataFrame) -> DataFrame:
+    """``(key, dst, kind)``: all that a candidate may bind to."""
+    return path_index(files).withColumn("kind", F.lit(PATH)).unionByName(unique_basenames(files).withColumn("kind", F.lit(BASE))).withColumnRenamed("file_id", "dst")
+
+
+def shape(kind: Column, key: Column) -> Column:
+    """First segment and depth of a path; basenames have one shape."""
+    return F.when(kind == BASE, "").otherwise(F.concat_ws("/", F.substring_index(key, "/", 1), (F.length(key) - F.length(F.replace(key, F.lit("/")))).cast("string")))
+
+
+def shapes(index: DataFrame) -> list[str] | None:
+    """The shapes of an index's keys; none if there are too many to be worth it."""
+    rows = index.select(shape(F.col("kind"), F.col("key")).alias("s")).distinct().limit(MOST_SHAPES + 1).collect()
+    return [r.s for r in rows] if len(rows) <= MOST_SHAPES else None
+
+
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``(file_id, raw, dst)`` of the imports that bind to a file."""
-    index = path_index(files).withColumn("kind", F.lit(PATH)).unionByName(unique_basenames(files).withColumn("kind", F.lit(BASE))).withColumnRenamed("file_id", "dst")
-    return candidates(imports).join(index, ["kind", "key"]).groupBy("file_id", "raw").agg(F.min_by("dst", "priority").alias("dst"))
+    return bind(imports, import_index(files))
+
+
+def bind(imports: DataFrame, index: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """``resolve`` by an ``import_index``; ``of``: its ``shapes``, so that a candidate of another shape, which no key can be, isn't shuffled."""
+    rows = candidates(imports)
+    if of is not None:
+        rows = rows.filter(shape(F.col("kind"), F.col("key")).isin(*of))
+    return rows.join(index, ["kind", "key"]).groupBy("file_id", "raw").agg(F.min_by("dst", "priority").alias("dst"))
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:

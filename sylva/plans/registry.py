@@ -11,7 +11,7 @@ from ..functions import text
 from ..langs import KINDS, PRESETS, VENDORED
 from ..operators import diff, link, lookup, metrics, rank, scan, score
 from ..render import markdown
-from ..store import materialize
+from ..store import materialize, write
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,17 +25,32 @@ class Tree:
     """The derived relations of one data folder, and what is linked and ranked from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.get = lambda name: corpus.relation(spark, sf_dir, name)
-        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
+        self.spark, self.sf_dir, self.kept, self.given = spark, sf_dir, {}, {}
+
+    def get(self, name: str, **given: str) -> DataFrame:
+        """A relation or table, from the files as they were written out if they were; ``given``: see ``corpus.relation``."""
+        return corpus.relation(self.spark, self.sf_dir, name, self.given | given)
 
     def table(self, name: str, make=None) -> DataFrame:
         """A relation that a query reads more than once, written out once."""
         if name not in self.kept:
-            self.kept[name] = materialize(make() if make else self.get(name), name)
+            self.kept[name], path = write(make() if make else self.get(name), name)
+            if name == "files":
+                self.given[name] = f"parquet.`{path}`"
         return self.kept[name]
 
     def imports(self) -> DataFrame:
-        return self.table("import_edges", lambda: link.import_edges(link.resolve(self.get("imports"), self.table("files"))))
+        return self.table("import_edges", self._import_edges)
+
+    def _import_edges(self) -> DataFrame:
+        """Linked a slice of the orders at a time, so that the shuffles of one slice are gone when the next one's come."""
+        index = materialize(link.import_index(self.table("files")), "import-index")
+        of = link.shapes(index)
+        edges = [link.import_edges(link.bind(self.get("imports", lineitem=part), index, of)) for part in corpus.slices(self.spark, self.sf_dir)]
+        if len(edges) == 1:
+            return edges[0]
+        paths = [write(part, "import-edges")[1] for part in edges]
+        return self.spark.read.schema(edges[0].schema).parquet(*paths).distinct()
 
     def references(self) -> DataFrame:
         return link.reference_edges(self.get("refs"), self.table("symbols"))
