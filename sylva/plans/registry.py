@@ -432,8 +432,9 @@ def _(t):
 # -- diff -------------------------------------------------------------------------------------------
 
 
-def _diff(t) -> diff.Diff:
-    return diff.diff(t.table("tree_files"), t.table("tree_symbols"), t.table("tree_imports"))
+def _diff(t, imports: bool = True) -> diff.Diff:
+    """Without ``imports``, a query that asks for none doesn't write them out."""
+    return diff.diff(t.table("tree_files"), t.table("tree_symbols"), t.table("tree_imports") if imports else t.get("tree_imports"))
 
 
 @query("diff_files", "SELECT op, rel, new_rel, lang, symbols, severity FROM d_files")
@@ -453,7 +454,7 @@ def _(t):
 
 @query("diff_kind_changes", "SELECT rel, was AS kind, now AS new_kind, name FROM pairs")
 def _(t):
-    return _diff(t).symbols.filter("op = 'kind'").select("rel", "kind", "new_kind", "name")
+    return _diff(t, imports=False).symbols.filter("op = 'kind'").select("rel", "kind", "new_kind", "name")
 
 
 @query("diff_imports", "SELECT rel, op, raw FROM d_imports")

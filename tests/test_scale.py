@@ -25,3 +25,10 @@ def test_same_rows_as_sql_without_broadcasts(shuffled, sf, name):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     ours, theirs = registry.QUERIES[name](shuffled, sf).toPandas(), con.execute(registry.ORACLES[name]).df()
     assert sorted(ours) == sorted(theirs) and rows(ours) == rows(theirs)
+
+
+def test_kind_changes_write_no_imports(spark, sf, monkeypatch):
+    kept = []
+    table = registry.Tree.table
+    monkeypatch.setattr(registry.Tree, "table", lambda t, name, make=None: (kept.append(name), table(t, name, make))[1])
+    assert registry.QUERIES["diff_kind_changes"](spark, sf).count() > 0 and sorted(kept) == ["tree_files", "tree_symbols"]
