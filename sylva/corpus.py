@@ -81,7 +81,7 @@ FROM imports i JOIN files f ON f.file_id = i.file_id WHERE f.pk % 13 <> 2""",
 
 TABLES = ("part", "lineitem", "events", "conversations", "documents", "pages", "customer", "orders")
 #: About the rows of ``lineitem`` in a slice, and the most slices: each meets all files anew.
-SLICE_ROWS, MOST_SLICES = 6_000_000, 16
+SLICE_ROWS, MOST_SLICES = 4_000_000, 16
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str, given: dict[str, str] | None = None) -> DataFrame:
