@@ -1,8 +1,12 @@
+from types import SimpleNamespace
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from sylva import store
 from sylva.llm import entry, mixing
 
 
@@ -76,3 +80,19 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     ours = __spark_entry__.queries()[name](spark, sf).toPandas()
     rows = lambda f: sorted(map(repr, f[sorted(f)].astype(object).where(f[sorted(f)].notna(), None).values.tolist()))
     assert sorted(ours) == sorted(theirs) and rows(ours) == rows(theirs)
+
+
+def test_stages_send_small_batches_to_python(spark, sf):
+    """So that the Python workers and the buffers of an executor stay small beside its heap."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    corpus_pipeline.drop_lines(spark, docs, sf)
+    sizes = spark.range(0, 5_000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 5_000 and max(r.n for r in sizes) <= store.BATCH_ROWS
+
+
+def test_executors_collect_their_heaps(spark, monkeypatch):
+    monkeypatch.setattr(store, "_shrunk", [-1e9])
+    collected = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = collected()
+    store.shrink(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://far", defaultParallelism=2), range=spark.range))
+    assert collected() >= before + 2 and store._shrunk[0] > 0
