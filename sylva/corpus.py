@@ -95,11 +95,11 @@ def located(text: str, sf_dir: str, given: dict[str, str] | None = None) -> str:
     return re.sub(rf"\b(FROM|JOIN) ({'|'.join(source)})\b(?! AS)", lambda m: f"{m[1]} {source[m[2]]}", text)
 
 
-def slices(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Sources of a FROM clause that together hold each row of ``lineitem`` once, an order in one of them."""
+def slices(spark: SparkSession, sf_dir: str, key: str = "l_orderkey", size: int = 1) -> list[str]:
+    """Sources of a FROM clause that together hold each row of ``lineitem`` once, a ``key`` in one of them; ``size``: times ``SLICE_ROWS``."""
     table = f"parquet.`{sf_dir}/lineitem.parquet`"
-    n = min(MOST_SLICES, 1 + spark.sql(f"SELECT count(*) FROM {table}").first()[0] // SLICE_ROWS)
-    return [f"(SELECT * FROM {table} WHERE pmod(xxhash64(l_orderkey), {n}) = {k})" for k in range(n)] if n > 1 else [table]
+    n = min(MOST_SLICES, 1 + spark.sql(f"SELECT count(*) FROM {table}").first()[0] // (size * SLICE_ROWS))
+    return [f"(SELECT * FROM {table} WHERE pmod(xxhash64({key}), {n}) = {k})" for k in range(n)] if n > 1 else [table]
 
 
 def _mentions(text: str, name: str) -> bool:

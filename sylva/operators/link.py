@@ -64,18 +64,26 @@ def java_spec(raw: Column) -> Column:
 def candidates(imports: DataFrame) -> DataFrame:
     """``(file_id, raw, priority, kind, key)`` of ``imports(file_id, rel, lang, raw)``; the lowest priority that exists wins."""
     raw, lang, rel = F.col("raw"), F.col("lang"), F.col("rel")
-    folder = F.when(rel.contains("/"), F.regexp_replace(rel, "/[^/]*$", "")).otherwise("")
-    bare = F.trim(F.regexp_replace(F.trim(raw), r"^[\"'`]+|[\"'`]+$", ""))
-    dotted = F.replace(F.when(lang == "java", java_spec(raw)).otherwise(F.trim(raw)), F.lit("."), F.lit("/"))
-    # worked out once, as a column of its own: both candidates of a relative import stand on it
-    imports = imports.withColumn("local", F.when((lang == "typescript") & bare.startswith("."), normalize(F.concat_ws("/", folder, bare))))
-    local = F.col("local")
+    of_c = lang.isin("c", "cpp")
     used = F.when(raw.contains("use "), F.regexp_replace(raw, r"^.*?use\s", "")).otherwise(raw)
     used = F.regexp_replace(F.regexp_replace(used, r"[{*;].*$", ""), r"\s+as\s.*$", "")
     crumbs = F.filter(F.split(F.trim(used), "::", -1), lambda s: ~F.trim(s).isin("", "crate", "self", "super"))
-    crumbs = F.transform(crumbs, lambda s: F.trim(s))
-    parts = F.filter(F.split(bare, "/", -1), lambda s: s != "")
-    spec = strip_extension(include_spec(raw))
+    # what several expressions stand on is a column of its own, and so worked out once a row and not for each of them and each segment
+    imports = imports.select(
+        "file_id",
+        "raw",
+        "lang",
+        F.when(lang.isin("typescript", "c", "cpp"), F.when(rel.contains("/"), F.regexp_replace(rel, "/[^/]*$", "")).otherwise("")).alias("folder"),
+        F.when(lang.isin("typescript", "go"), F.trim(F.regexp_replace(F.trim(raw), r"^[\"'`]+|[\"'`]+$", ""))).alias("bare"),
+        F.when(of_c, strip_extension(include_spec(raw))).alias("spec"),
+        F.when(lang == "rust", F.transform(crumbs, lambda s: F.trim(s))).alias("crumbs"),
+    )
+    bare, spec, crumbs = F.col("bare"), F.col("spec"), F.col("crumbs")
+    beside = F.when((lang == "typescript") & bare.startswith("."), F.concat_ws("/", "folder", bare)).when(of_c, F.concat_ws("/", "folder", spec))
+    imports = imports.withColumn("beside", beside).withColumn("parts", F.when(lang == "go", F.filter(F.split(bare, "/", -1), lambda s: s != "")))
+    imports = imports.withColumn("local", normalize(F.col("beside")))
+    local, parts = F.col("local"), F.col("parts")
+    dotted = F.replace(F.when(lang == "java", java_spec(raw)).otherwise(F.trim(raw)), F.lit("."), F.lit("/"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(crumbs)), lambda n: F.struct((F.size(crumbs) - n).alias("p"), F.lit(PATH).alias("kind"), F.array_join(F.slice(crumbs, 1, n), "/").alias("key")))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct((F.size(parts) - n).alias("p"), F.lit(PATH).alias("kind"), F.array_join(F.slice(parts, -n, n), "/").alias("key")))
     one = lambda p, kind, key: F.struct(F.lit(p).alias("p"), F.lit(kind).alias("kind"), key.alias("key"))
@@ -84,7 +92,7 @@ def candidates(imports: DataFrame) -> DataFrame:
         .when(lang == "typescript", F.array(one(0, PATH, local), one(1, PATH, F.concat(local, F.lit("/index")))))
         .when((lang == "rust") & (F.size(crumbs) > 0), F.concat(prefixes, F.array(one(9999, BASE, F.get(crumbs, F.lit(0))))))
         .when((lang == "go") & (F.size(parts) > 0), F.concat(suffixes, F.array(one(9999, BASE, F.element_at(parts, -1)))))
-        .when(lang.isin("c", "cpp"), F.array(one(0, PATH, normalize(F.concat_ws("/", folder, spec))), one(1, PATH, normalize(spec)), one(2, BASE, basename(spec))))
+        .when(of_c, F.array(one(0, PATH, local), one(1, PATH, normalize(spec)), one(2, BASE, basename(spec))))
     )
     rows = imports.select("file_id", "raw", F.explode(found.cast("array<struct<priority:int,kind:string,key:string>>")).alias("c"))
     return rows.select("file_id", "raw", "c.*").filter("key is not null and key <> ''")

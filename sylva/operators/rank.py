@@ -117,8 +117,22 @@ def named_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Stands for the ``n - own`` edges of ``link.reference_edges`` of that file and name.
     """
-    own = symbols.groupBy("file_id", "name").agg(F.count("*").alias("own"))
-    every = own.groupBy("name").agg(F.sum("own").alias("n"))
+    own = definitions(symbols)
+    return named_among(refs, own, defined_names(own))
+
+
+def definitions(symbols: DataFrame) -> DataFrame:
+    """``(file_id, name, own)``: how many symbols of a name a file has."""
+    return symbols.groupBy("file_id", "name").agg(F.count("*").alias("own"))
+
+
+def defined_names(own: DataFrame) -> DataFrame:
+    """``(name, n)`` of ``definitions``: how many symbols have the name."""
+    return own.groupBy("name").agg(F.sum("own").alias("n"))
+
+
+def named_among(refs: DataFrame, own: DataFrame, every: DataFrame) -> DataFrame:
+    """``named_references`` by ``definitions`` and ``defined_names``; ``refs`` may be those of some files, each with all of its call names."""
     calls = refs.select("file_id", "name").distinct().join(own, ["file_id", "name"], "left")
     return calls.join(every, "name").select("file_id", "name", "n", F.coalesce("own", F.lit(0)).alias("own"))
 

@@ -11,7 +11,7 @@ from ..functions import text
 from ..langs import KINDS, PRESETS, VENDORED
 from ..operators import diff, link, lookup, metrics, rank, scan, score
 from ..render import markdown
-from ..store import materialize, write
+from ..store import mark, materialize, sweep, write, write_parts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,38 +25,55 @@ class Tree:
     """The derived relations of one data folder, and what is linked and ranked from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir, self.kept, self.given = spark, sf_dir, {}, {}
+        self.spark, self.sf_dir, self.kept, self.paths, self.given = spark, sf_dir, {}, {}, {}
 
     def get(self, name: str, **given: str) -> DataFrame:
         """A relation or table, from the files as they were written out if they were; ``given``: see ``corpus.relation``."""
         return corpus.relation(self.spark, self.sf_dir, name, self.given | given)
 
     def table(self, name: str, make=None) -> DataFrame:
-        """A relation that a query reads more than once, written out once."""
+        """A relation that a query reads more than once, written out once; ``make`` gives it whole or in parts."""
         if name not in self.kept:
-            self.kept[name], path = write(make() if make else self.get(name), name)
+            made = make() if make else self.get(name)
+            self.kept[name], self.paths[name] = write(made, name) if isinstance(made, DataFrame) else write_parts(made, name)
             if name == "files":
-                self.given[name] = f"parquet.`{path}`"
+                self.given[name] = f"parquet.`{self.paths[name]}`"
         return self.kept[name]
 
     def imports(self) -> DataFrame:
-        return self.table("import_edges", self._import_edges)
+        if "import_edges" not in self.kept:
+            self.table("files")
+            since = mark()
+            self.table("import_edges", self._import_edges)
+            sweep(self.spark, since, self.paths["import_edges"])
+        return self.kept["import_edges"]
 
     def _import_edges(self) -> DataFrame:
         """Linked a slice of the orders at a time, so that the shuffles of one slice are gone when the next one's come."""
         index = materialize(link.import_index(self.table("files")), "import-index")
         of = link.shapes(index)
         edges = [link.import_edges(link.bind(self.get("imports", lineitem=part), index, of)) for part in corpus.slices(self.spark, self.sf_dir)]
-        if len(edges) == 1:
-            return edges[0]
-        paths = [write(part, "import-edges")[1] for part in edges]
-        return self.spark.read.schema(edges[0].schema).parquet(*paths).distinct()
+        return edges[0] if len(edges) == 1 else write_parts(edges, "import-edges")[0].distinct()
 
     def references(self) -> DataFrame:
         return link.reference_edges(self.get("refs"), self.table("symbols"))
 
     def named(self) -> DataFrame:
-        return self.table("named", lambda: rank.named_references(self.get("refs"), self.table("symbols")))
+        if "named" not in self.kept:
+            self.table("files"), self.table("symbols")
+            since = mark()
+            self.table("named", self._named)
+            sweep(self.spark, since, self.paths["named"])
+        return self.kept["named"]
+
+    def _named(self) -> list[DataFrame]:
+        """By slices of the files, each of which has its call names in one."""
+        parts = corpus.slices(self.spark, self.sf_dir, "l_partkey", 3)
+        if len(parts) == 1:
+            return [rank.named_references(self.get("refs"), self.table("symbols"))]
+        own = materialize(rank.definitions(self.table("symbols")), "definitions")
+        every = materialize(rank.defined_names(own), "defined-names")
+        return [rank.named_among(self.get("refs", lineitem=part), own, every) for part in parts]
 
     def ranks(self, focus: bool = False) -> DataFrame:
         files, symbols = self.table("files"), self.table("symbols")
