@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -62,6 +63,11 @@ class Bits:
             raise ValueError("the stream ends early")
         return v
 
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("the stream ends early")
+
 
 @cache
 def _reversal(width: int) -> np.ndarray:
@@ -72,8 +78,24 @@ def _reversal(width: int) -> np.ndarray:
     return out
 
 
+@cache
+def _turned(width: int) -> list[int]:
+    return _reversal(width).tolist()
+
+
+@cache
+def _places(n: int) -> np.ndarray:
+    return np.arange(n)
+
+
 class Code:
-    """Canonical prefix code of ``width`` bits at most. ``table`` is indexed by the next ``width`` bits: symbol times 16 and the bits it takes."""
+    """Canonical prefix code of ``width`` bits at most. ``table`` is indexed by the next ``width`` bits: symbol times 16 and the bits it takes; ``array`` is the same, if it was made first."""
+
+    array: np.ndarray | None = None
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.array.tolist()
 
     def __init__(self, lengths: list[int]) -> None:
         sizes = np.array(lengths)
@@ -87,7 +109,25 @@ class Code:
         spans = 1 << (self.width - sizes)
         if spans.sum() != 1 << self.width:
             raise ValueError("a prefix code isn't complete")
-        self.table = np.repeat(used << 4 | sizes, spans)[_reversal(self.width)].tolist()
+        self.array = np.repeat((used << 4 | sizes).astype(np.uint16), spans)[_reversal(self.width)]
+
+    @classmethod
+    def short(cls, lengths: list[int]) -> Code:
+        """Of few symbols and up to seven bits: built symbol by symbol."""
+        own = cls.__new__(cls)
+        used = sorted((n, x) for x, n in enumerate(lengths) if n)
+        if len(used) <= 1:
+            own.width, own.table = 0, [used[0][1] << 4 if used else 0]
+            return own
+        own.width = used[-1][0]
+        full, at = 1 << own.width, 0
+        if sum(full >> n for n, _ in used) != full:
+            raise ValueError("a prefix code isn't complete")
+        own.table, turned = [0] * full, _turned(own.width)
+        for n, x in used:
+            own.table[turned[at] :: 1 << n] = [x << 4 | n] * (full >> n)
+            at += full >> n
+        return own
 
     @classmethod
     def simple(cls, symbols: list[int]) -> Code:
@@ -100,16 +140,22 @@ class Code:
 
 
 def _code(bits: Bits, size: int) -> Code:
-    if bits.read(1):
-        two = bits.read(1)
-        found = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
+    head = bits.peek()
+    if head & 1:
+        two, n = head >> 1 & 1, 8 if head & 4 else 1
+        bits.skip(3 + n + 8 * two)
+        found = [head >> 3 & ((1 << n) - 1)] + ([head >> 3 + n & 255] if two else [])
         if max(found) >= size:
             raise ValueError("a symbol is too large")
         return Code.simple(found)
-    own = [0] * 19
-    for k in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[k]] = bits.read(3)
-    code, left = Code(own), size
+    known = 4 + (head >> 1 & 15)
+    bits.skip(5)
+    own, head = [0] * 19, bits.peek()  # 57 bits at the most
+    for k in LENGTH_ORDER[:known]:
+        own[k] = head & 7
+        head >>= 3
+    bits.skip(3 * known)
+    code, left = Code.short(own), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     lengths: list[int] = []
@@ -150,16 +196,15 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         across = (width + (1 << tile) - 1) >> tile
         of = (_image(bits, across, (height + (1 << tile) - 1) >> tile, False) >> 8) & 0xFFFF
         groups = int(of.max()) + 1
-    codes = []
-    for _ in range(groups):
-        own = [_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
-        codes.append([x for c in own for x in (c.table, (1 << c.width) - 1)])
+    every = [[_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
-    if groups == 1 and total > 64 and not codes[0][3] | codes[0][5] | codes[0][7]:  # red, blue and alpha take no bits
-        rest = codes[0][6][0] >> 4 << 24 | codes[0][2][0] >> 4 << 16 | codes[0][4][0] >> 4
-        found = _greens(bits, codes[0], rest, cache_bits, width, total)
+    green, red, blue, alpha, far = every[0]
+    if groups == 1 and total > 64 and not red.width | blue.width | alpha.width:  # red, blue and alpha take no bits
+        rest = alpha.table[0] >> 4 << 24 | red.table[0] >> 4 << 16 | blue.table[0] >> 4
+        found = _greens(bits, green, far, rest, cache_bits, width, total)
         if found is not None:
             return np.uint32(rest) | found.astype(np.uint32) << np.uint32(8)
+    codes = [[x for c in own for x in (c.table, (1 << c.width) - 1)] for own in every]
     out, cache, at, cached = [0] * total, [0] * (1 << cache_bits), 0, 0
     data, where, shift = bits.data, bits.at, 32 - cache_bits
     acc, have, limit = 0, 0, bits.end
@@ -222,19 +267,26 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _greens(bits: Bits, codes: list, rest: int, cache_bits: int, width: int, total: int) -> np.ndarray | None:
+@lru_cache(64)
+def _slots_beside(rest: int, cache_bits: int) -> tuple[int, ...]:
+    """Cache slot of each green value beside those other channels."""
+    return tuple(((rest | g << 8) * HASH & 0xFFFFFFFF) >> (32 - cache_bits) for g in range(256))
+
+
+def _greens(bits: Bits, of_green: Code, of_far: Code, rest: int, cache_bits: int, width: int, total: int) -> np.ndarray | None:
     """The green values of an image whose other channels stay the same; None if a cache entry is read that no pixel has set.
 
     What stands at a place of the stream is looked up for all places of a stretch at once, whether a symbol starts there or not; then the symbols are
-    followed from one to the next, and the literals among them are put down together, references and cache hits in turn.
+    followed eight at a time by tables of where each place leads to, and the literals among them are put down together, references and cache hits in turn.
     """
-    green, mask, far, far_mask = np.array(codes[0], np.uint16), codes[1], codes[8], codes[9]
+    green = of_green.array if of_green.array is not None else np.array(of_green.table, np.uint16)
+    mask, far, far_mask = (1 << of_green.width) - 1, of_far.table, (1 << of_far.width) - 1
     sizes = (green & np.uint16(15)).astype(np.uint8)
     symbols_of = green >> np.uint16(4)
     sizes[(symbols_of > 255) & (symbols_of < 280)] = 0  # a reference: how far it goes is read on the way
     data = bits.data + bytes(STRETCH // 8 + 16)
     raw = np.frombuffer(data, np.uint8)
-    slots = [((rest | g << 8) * HASH & 0xFFFFFFFF) >> (32 - cache_bits) for g in range(256)] if cache_bits else []
+    slots = _slots_beside(rest, cache_bits) if cache_bits else ()
     out, done, start = np.zeros(total, np.uint8), 0, bits.at
     view = memoryview(out)
     while done < total:
@@ -244,53 +296,68 @@ def _greens(bits: Bits, codes: list, rest: int, cache_bits: int, width: int, tot
         n = min(STRETCH, bits.end - 8 * first + 8)
         part = raw[first : first + (n + 7 >> 3) + 2].astype(np.uint32)
         near = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
-        own = (near[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32(mask)).ravel()
-        follow = sizes[own].tobytes()
-        path: list[int] = []
-        refs: list[tuple[int, int, int]] = []
-        append, room = path.append, total - done
+        own = (near[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32(mask)).ravel().astype(np.intp)
+        refs: dict[int, tuple[int, int]] = {}
+        room = total - done
         if not mask and symbols_of[0] < 256:  # one literal that takes no bits
-            path, p = [p] * room, p
+            taken = np.full(room, p)
         else:
-            for _ in range(room):
+            # where each place leads to; a reference and what lies behind the stretch lead to themselves
+            one = _places(STRETCH + 32)[: n + 16].copy()
+            one[:n] += sizes.take(own[:n])
+            two = one.take(one)
+            four = two.take(two)
+            hop, anchors = memoryview(four.take(four)), []
+            append = anchors.append
+            while True:
+                while (to := hop[p]) != p:
+                    append(p)
+                    p = to
+                if p >= n or len(refs) >= room:
+                    break
                 append(p)
-                d = follow[p]
-                if not d:
-                    s = int(symbols_of[own[p]])
-                    if s > 279:
-                        raise ValueError("a code of cache entries only")
-                    d = int(green[own[p]]) & 15
-                    at = 8 * first + p + d
-                    window = int.from_bytes(data[at >> 3 : (at >> 3) + 12], "little") >> (at & 7)
-                    m, k = _extra(s - 256, window)
-                    t = far[window >> k & far_mask]
-                    k += t & 15
-                    away, more = _extra(t >> 4, window >> k)
-                    if away > 120:
-                        away -= 120
-                    else:
-                        x, y = NEAR[away - 1]
-                        away = max(1, x + y * width)
-                    refs.append((len(path) - 1, m, away))
-                    d += k + more
-                p += d
-                if p >= n:
+                t = int(green[own[p]])
+                s, d = t >> 4, t & 15
+                if s > 279:
+                    raise ValueError("a code of cache entries only")
+                at = 8 * first + p + d
+                window = int.from_bytes(data[at >> 3 : (at >> 3) + 12], "little") >> (at & 7)
+                m, k = _extra(s - 256, window)
+                t = far[window >> k & far_mask]
+                k += t & 15
+                away, more = _extra(t >> 4, window >> k)
+                if away > 120:
+                    away -= 120
+                else:
+                    x, y = NEAR[away - 1]
+                    away = max(1, x + y * width)
+                refs[p] = m, away
+                p += d + k + more
+                if p >= n or not d + k + more:
                     break
-        taken = np.array(path)
+            steps = np.empty((len(anchors), 8), np.int64)
+            steps[:, 0] = anchors
+            steps[:, 1] = one.take(steps[:, 0])
+            steps[:, 2:4] = two.take(steps[:, :2])
+            steps[:, 4:] = four.take(steps[:, :4])
+            taken = steps.ravel()
+            taken = taken[np.append(True, taken[1:] > taken[:-1])]
+            taken = taken[: int(np.searchsorted(taken, n))]
         lengths = np.ones(len(taken), np.int64)
-        for i, m, _ in refs:
-            lengths[i] = m
+        if refs:
+            at_refs = np.searchsorted(taken, list(refs))
+            lengths[at_refs] = [m for m, _ in refs.values()]
         ends = done + np.cumsum(lengths)
         kept = min(len(taken), int(np.searchsorted(ends, total)) + 1)
         if ends[kept - 1] > total:
             raise ValueError("a back-reference leaves the image")
         if kept < len(taken):
-            p = path[kept]
+            p = int(taken[kept])
         start = 8 * first + p
         symbols, begins = symbols_of[own[taken[:kept]]], ends[:kept] - lengths[:kept]
         plain = symbols < 256
         out[begins[plain]] = symbols[plain]
-        away = {i: d for i, _, d in refs}
+        away = {i: d for i, (_, d) in zip(at_refs.tolist(), refs.values())} if refs else {}
         for k in np.flatnonzero(~plain).tolist():
             i, s = int(begins[k]), int(symbols[k])
             if s > 279:
@@ -528,15 +595,21 @@ class Out:
     def bytes(self) -> bytes:
         """Each field is added to the bytes that it touches; their bits don't overlap."""
         values, sizes = self.fields()
-        some = sizes > 0
-        values, sizes = values[some], sizes[some]
         ends = np.cumsum(sizes)
         at = ends - sizes
         values, first = values << (at & 7), at >> 3
-        out = np.zeros(int(ends[-1] + 7 >> 3) + 8)
-        for k in range((int(sizes.max()) + 14) >> 3):
-            out += np.bincount(first + k, weights=values >> 8 * k & 255, minlength=len(out))
-        return out[: int(ends[-1] + 7 >> 3)].astype(np.uint8).tobytes()
+        n = int(ends[-1] + 7 >> 3)
+        out = np.bincount(first, weights=values & 255, minlength=n + 8)
+        for k in range(1, (int(sizes.max()) + 14) >> 3):
+            values >>= 8
+            if k > 1:  # fields of up to nine bits end before
+                some = np.flatnonzero(values)
+                first, values = first[some] + 1, values[some]
+            else:
+                first = first + 1
+            if len(first):
+                out += np.bincount(first, weights=values & 255, minlength=n + 8)
+        return out[:n].astype(np.uint8).tobytes()
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -609,7 +682,9 @@ def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     spans = 1 << (7 - own[order])
     codes = np.zeros(19, np.int64)
     codes[order] = _reversal(7)[np.cumsum(spans) - spans] & ((1 << own[order]) - 1)
-    out.extend(np.stack([codes[listed], extra], 1).ravel(), np.stack([own[listed], _CARRIED[listed]], 1).ravel())
+    own |= _CARRIED << 8  # a token in one field: its code, then what it carries
+    taken = own[listed]
+    out.extend(codes[listed] | extra << (taken & 255), (taken & 255) + (taken >> 8))
     return values, sizes
 
 
@@ -625,19 +700,17 @@ def _references(data: bytes) -> np.ndarray:
     n = len(data)
     if n <= REPEAT:
         return np.zeros((0, 3), np.int64)
-    v = np.frombuffer(data, np.uint8).astype(np.uint64)
-    keys = v[: n - REPEAT + 1].copy()
-    for k in range(1, REPEAT):
-        keys |= v[k : n - REPEAT + 1 + k] << np.uint64(8 * k)
+    keys = np.ndarray((n - REPEAT + 1,), f"<u{REPEAT}", data, 0, (1,)).copy()  # the bytes from each place on as a number
     short = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
     order = np.argsort(short, kind="stable")  # the last place before each of the same hash, where the bytes are the same too
-    same = keys[order[1:]] == keys[order[:-1]]
+    sorted_keys = keys[order]
+    same = sorted_keys[1:] == sorted_keys[:-1]
     at = order[1:][same]
     sort = np.argsort(at)
-    out, done = [], 0
-    for i, j in zip(at[sort].tolist(), order[:-1][same][sort].tolist()):
-        if i < done:
-            continue
+    starts, earlier = at[sort].tolist(), order[:-1][same][sort].tolist()
+    out, done, next_one = [], 0, 0
+    while (next_one := bisect_left(starts, done, next_one)) < len(starts):
+        i, j = starts[next_one], earlier[next_one]
         length = step = REPEAT
         while length + step <= 4096 and i + length + step <= n and data[i + length : i + length + step] == data[j + length : j + length + step]:
             length += step
@@ -691,11 +764,10 @@ def _put_green(out: Out, green: np.ndarray, alpha: int, width: int, odd: dict[in
     edges[ends] -= 1
     literal = np.cumsum(edges[:-1]) == 0
     slots = _slots(alpha)[green]
-    before, places = np.full(len(green), -1), np.arange(len(green))
+    before = np.full(len(green), -1)
     for k in range(1 << CACHE):
-        own = slots == k
-        last = np.maximum.accumulate(np.where(own, places, -1))
-        before[1:][own[1:]] = last[:-1][own[1:]]
+        own = np.flatnonzero(slots == k)
+        before[own[1:]] = own[:-1]
     hits = literal & (before >= 0) & (green == green[before])
     bits = CACHE if hits.any() and not odd else 0
     if not bits:
@@ -716,19 +788,27 @@ def _put_green(out: Out, green: np.ndarray, alpha: int, width: int, odd: dict[in
     number = np.searchsorted(places, first)
     code = _put_code(out, np.bincount(symbols, minlength=280 + (1 << bits if bits else 0)))
     out.put(*2 * [(1, 1), (0, 1), (1, 1), (0, 8)])  # red and blue are 0
-    alphas = np.full(len(places), alpha)
-    for i, v in odd.items():
-        alphas[i] = v
-    see = _put_code(out, np.bincount(alphas[symbols < 256], minlength=256))
+    if odd:
+        alphas = np.full(len(places), alpha)
+        for i, v in odd.items():
+            alphas[i] = v
+        see = _put_code(out, np.bincount(alphas[symbols < 256], minlength=256))
+    else:
+        out.put((1, 1), (0, 1), (1, 1), (alpha, 8))
     far = _put_code(out, np.bincount(far_symbols, minlength=40))
-    values, sizes = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
+    if not odd:  # red, blue and alpha take no bits: a field a literal, two a reference
+        values, sizes = code[0][symbols], code[1][symbols]
+        if len(found):
+            values[number] |= more << sizes[number]
+            sizes[number] += more_bits
+            after = far[1][far_symbols]
+            values = np.insert(values, number + 1, far[0][far_symbols] | beyond << after)
+            sizes = np.insert(sizes, number + 1, after + beyond_bits)
+        out.extend(values, sizes)
+        return
+    values, sizes = np.zeros((len(places), 2), np.int64), np.zeros((len(places), 2), np.int64)  # no references then
     values[:, 0], sizes[:, 0] = code[0][symbols], code[1][symbols]
-    if odd:
-        values[:, 3], sizes[:, 3] = see[0][alphas], see[1][alphas]
-    values[number, 1], sizes[number, 1] = more, more_bits
-    values[number, 2], sizes[number, 2] = far[0][far_symbols], far[1][far_symbols]
-    if len(found):
-        values[number, 3], sizes[number, 3] = beyond, beyond_bits
+    values[:, 1], sizes[:, 1] = see[0][alphas], see[1][alphas]
     out.extend(values.ravel(), sizes.ravel())
 
 
@@ -888,10 +968,12 @@ def digests(images: DataFrame) -> DataFrame:
                 if not words.is_valid:
                     rows.append((i.as_py(), n.as_py(), None, None, None, None, None, None))
                     continue
-                image, file = np.frombuffer(words.as_buffer(), ">u4").astype(np.uint32), m.as_buffer()
-                payload = samples(image)
-                counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                feature = f"{width}x{height}:{int(counts @ np.arange(256)) / max(1, len(payload)):.3f}:{np.count_nonzero(counts)}"
+                image, file = np.frombuffer(words.as_buffer(), np.uint8).reshape(-1, 4), m.as_buffer()
+                shown = image[:, 0] == 255
+                green = image[:, 2] if shown.all() else image[shown, 2]  # as ``samples``, from big-endian words
+                payload = green.tobytes()
+                counts = np.bincount(green, minlength=256)
+                feature = f"{width}x{height}:{int(counts @ _places(256)) / max(1, len(payload)):.3f}:{np.count_nonzero(counts)}"
                 rows.append((i.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), file.size, hashlib.sha256(file).hexdigest(), feature))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)

@@ -149,3 +149,43 @@ def test_pixel_arrays(spark):
     good, bad, none = webp.pixels(frame).orderBy("id").collect()
     assert (np.frombuffer(bytes(good.argb), ">u4").reshape(good.height, good.width) == image).all() and good.error is None
     assert bad.argb is None and bad.error and none.error == "no media"
+
+
+def test_short_codes_are_those_of_any_length_and_must_be_full():
+    rng = np.random.default_rng(4)
+    full = 0
+    for _ in range(2_000):
+        lengths = rng.choice(8, 19, p=[0.5, 0.05, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05]).tolist() if rng.random() < 0.5 else webp.code_lengths(rng.integers(1, 50, 19), 7).tolist()
+        try:
+            want = webp.Code(lengths)
+        except ValueError:
+            with pytest.raises(ValueError):
+                webp.Code.short(lengths)
+            continue
+        got = webp.Code.short(lengths)
+        full += 1
+        assert (got.width, got.table) == (want.width, want.table)
+    assert full > 500
+    with pytest.raises(ValueError):
+        webp.Code.short([1, 1, 1])
+
+
+def test_symbols_are_followed_several_at_a_time(monkeypatch):
+    """A text of some thousand literals takes hundreds of looks, not one a symbol; a stretch that ends within a reference goes on behind it."""
+    looks = []
+
+    class Looked:
+        def __init__(self, of):
+            self.of = of
+
+        def __getitem__(self, p):
+            looks.append(p)
+            return self.of[p]
+
+    monkeypatch.setitem(vars(webp), "memoryview", lambda a: Looked(memoryview(a)) if a.dtype == np.int64 else memoryview(a))
+    words = np.random.default_rng(2).integers(97, 123, 40 * 192).astype(np.uint8).tobytes()
+    assert webp.samples(webp.decode(webp.encode(words))) == words and 0 < len(looks) < len(words) / 4
+    payload = webp.pad(words[:500] + words[:400] * 4)
+    for stretch in range(64, 80):
+        monkeypatch.setattr(webp, "STRETCH", stretch)
+        assert webp.samples(webp.decode(webp.encode(payload))) == payload
